@@ -24,6 +24,17 @@ picked AS (SELECT *, (whole + CASE WHEN p > 0 AND upto - size / 2.0 <= due THEN
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM picked
 """
 
+OP7 = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body)::BIGINT AS n, sha1(body) AS hex FROM p),
+k AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS keeper, count(*) OVER (PARTITION BY hex) AS copies FROM d)
+SELECT page_id, n AS payload_bytes,
+       list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, ((i // 4) * 5 + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), lambda a, b: a || b) AS payload_digest,
+       CASE WHEN copies > 1 AND page_id IS DISTINCT FROM keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN copies > 1 AND page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM k
+"""
+
 #: For tables whose pages declare no canonical link or redirect, as the test tables; aliases are tested by fixture.
 OP8 = r"""
 WITH parts AS (
@@ -40,4 +51,4 @@ FROM named n
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4, "op8_url_filters": OP8}
+    return {"op4_mixing": OP4, "op7_warc": OP7, "op8_url_filters": OP8}
