@@ -24,6 +24,24 @@ picked AS (SELECT *, (whole + CASE WHEN p > 0 AND upto - size / 2.0 <= due THEN
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM picked
 """
 
+OP2 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(t) = 0 THEN [] WHEN len(t) < 4 THEN [array_to_string(t, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(t) - 2), lambda i: array_to_string(t[i:i + 3], ' '))) END) AS g FROM w),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT r.x, min(r.y) AS component_id FROM r GROUP BY r.x),
+f AS (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class_id FROM f)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, coalesce(k.class_id, d.doc_id) AS class_id
+FROM documents d JOIN c ON c.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
 OP7 = r"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
 d AS (SELECT page_id, octet_length(body)::BIGINT AS n, sha1(body) AS hex FROM p),
@@ -51,4 +69,4 @@ FROM named n
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4, "op7_warc": OP7, "op8_url_filters": OP8}
+    return {"op2_ngram_join": OP2, "op4_mixing": OP4, "op7_warc": OP7, "op8_url_filters": OP8}
