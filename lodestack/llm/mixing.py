@@ -61,28 +61,49 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies: int =
     Null and empty texts have size 0 and are taken 0 words of; a null source is a source of its own, last in order. Null
     ids share one u; ties in rank are ordered by id and size, and repeated rows are interchangeable. An empty table
     gives no rows. Further columns of docs are ignored."""
+    base = stored(_placed(docs.select("doc_id", "text", "source"), seed).drop("text"), "mix")
+    return _decided(base, _plan(base, weights, most_copies)).select(
+        "doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("copies") * F.col("_size")).alias("taken"), "copies"
+    )
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies: int = 3, seed: str = "mix") -> DataFrame:
+    """The mix itself: each row of docs, with all its columns, as often as mix() takes it."""
+    base = stored(_placed(docs.select("doc_id", "text", "source"), seed).drop("text"), "mix")
+    rows = _decided(_placed(docs, seed), _plan(base, weights, most_copies)).where("copies > 0")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def _placed(docs: DataFrame, seed: str) -> DataFrame:
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    base = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
-    base = stored(base.select("doc_id", key.alias("key"), "source", "size", _uniform("doc_id", seed).alias("u")), "mix")
-    sizes = base.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    u = _uniform("doc_id", seed)
+    cell = F.least(F.floor(u * CELLS), F.lit(CELLS - 1))
+    return docs.withColumns({"_key": key, "_size": n_words(F.col("text")), "_u": u, "_cell": cell})
+
+
+def _plan(base: DataFrame, weights: tuple[int, ...], most_copies: int) -> DataFrame:
+    """For each source: target, whole copies, the probability p of one more, the words due by it, and the cell where they end
+    with the words before it."""
+    sizes = base.groupBy(F.col("_key").alias("key")).agg(F.first("source").alias("source"), F.sum("_size").alias("source_size"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = source_targets(sizes, weights, most_copies).withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio))
     plan = plan.withColumn("due", F.col("target") - F.col("whole") * F.col("source_size"))
-    # p is the same for all documents of a source, so the order of u/(1-u) over p/(1-p) is that of its numerator.
-    cell = F.least(F.floor(F.col("u") * CELLS), F.lit(CELLS - 1))
-    cells = base.groupBy("key", cell.alias("cell")).agg(F.sum("size").alias("words"))
+    cells = base.groupBy(F.col("_key").alias("key"), F.col("_cell").alias("cell")).agg(F.sum("_size").alias("words"))
     upto = Window.partitionBy("key").orderBy("cell")
     cells = cells.withColumn("before", F.sum("words").over(upto) - F.col("words"))
     edges = cells.join(plan.select("key", "due"), "key").where("before < due")
     edges = edges.groupBy("key").agg(F.max("cell").alias("edge"), F.max("before").alias("before"))
-    plan = stored(plan.join(edges, "key", "left"), "plan")
-    rows = base.withColumn("cell", cell).join(bounded_broadcast(plan, MOST_SOURCES), "key")
-    at_edge = F.col("cell") == F.col("edge")
-    odds = F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p")))
-    ranked = Window.partitionBy("key").orderBy(F.when(F.col("p") > 0, odds), "u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    near = rows.where(at_edge).withColumn("upto", F.col("before") + F.sum("size").over(ranked))
-    near = near.withColumn("extra", (F.col("upto") - F.col("size") / 2 <= F.col("due")).cast("long")).drop("upto")
-    rest = rows.where(~F.coalesce(at_edge, F.lit(False))).withColumn("extra", F.coalesce(F.col("cell") < F.col("edge"), F.lit(False)).cast("long"))
-    copies = F.col("whole") + F.when(F.col("p") > 0, F.col("extra")).otherwise(0)
-    chosen = near.unionByName(rest).withColumn("copies", copies.cast("long"))
-    return chosen.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return stored(plan.join(edges, "key", "left").withColumnRenamed("key", "_key"), "plan")
+
+
+def _decided(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    rows = rows.join(bounded_broadcast(plan, MOST_SOURCES), "_key")
+    # p is the same for all documents of a source, so a range of u is a range of u/(1-u) over p/(1-p).
+    at_edge = F.coalesce(F.col("_cell") == F.col("edge"), F.lit(False))
+    odds = F.col("_u") / (1 - F.col("_u")) / (F.col("p") / (1 - F.col("p")))
+    ranked = Window.partitionBy("_key").orderBy(F.when(F.col("p") > 0, odds), "_u", "doc_id", "_size").rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.where(at_edge).withColumn("_upto", F.col("before") + F.sum("_size").over(ranked))
+    near = near.withColumn("_extra", F.col("_upto") - F.col("_size") / 2 <= F.col("due")).drop("_upto")
+    rest = rows.where(~at_edge).withColumn("_extra", F.coalesce(F.col("_cell") < F.col("edge"), F.lit(False)))
+    copies = F.col("whole") + F.when(F.col("p") > 0, F.col("_extra").cast("long")).otherwise(0)
+    return near.unionByName(rest).withColumn("copies", copies.cast("long"))

@@ -154,6 +154,13 @@ def fit(sums: dict[int, tuple[int, np.ndarray, np.ndarray]], settings: Settings
     return Model(center, scale, prior, classes)
 
 
+def learn(have: DataFrame, labels: DataFrame, folds: int, settings: Settings) -> Model:
+    """Fits features(doc_id, f) with labels(doc_id, quality), without the fold that is held out."""
+    kept = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label IN (0, 1)")
+    train = have.where(fold("doc_id", folds) != 0).join(kept, "doc_id").select("label", "f")
+    return fit(moments(train), settings)
+
+
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs(doc_id, text).
 
@@ -163,9 +170,7 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, settings: Setti
     labels, each counts. Null ids count as held out only if the empty text's remainder is 0; equal texts get equal
     scores; if a class has fewer than two rows, all scores are the smoothed share of label 1. Other columns are ignored."""
     have = stored(features(docs), "features")
-    kept = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label IN (0, 1)")
-    train = have.where(fold("doc_id", folds) != 0).join(kept, "doc_id").select("label", "f")
-    model = fit(moments(train), settings)
+    model = learn(have, labels, folds, settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,3 +180,19 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, settings: Setti
     kind = docs.schema["doc_id"].dataType.simpleString()
     scored = have.mapInArrow(run, f"doc_id {kind}, score double")
     return scored.select("doc_id", (fold("doc_id", folds) == 0).alias("held_out"), "score", (F.col("score") >= settings.threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5, settings: Settings = Settings()) -> DataFrame:
+    """The rows of docs(doc_id, text, ...), with all their columns, whose score reaches the threshold; each row is judged by
+    its own text, so nulls, repeated ids and ties need no join. Learns as classify does."""
+    have = features(docs.join(labels.select("doc_id").where("quality IN (0, 1)").distinct(), "doc_id", "left_semi"))
+    model = learn(have, labels, folds, settings)
+    place, text = docs.columns, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [statistics(t or b"") for t in batch.column(text).cast(pa.binary()).to_pylist()]
+            x = transformed(np.array(rows, np.float64).reshape(-1, len(FEATURES)))
+            yield pa.RecordBatch.from_arrays(batch.columns, names=place).filter(pa.array(model.scores(x) >= settings.threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
