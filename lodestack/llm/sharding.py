@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import scratch_path
+from lodestack.llm.common import bounded_broadcast, scratch_path
 
+#: So many shards of a round, or of a version, are broadcast by name; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 MANIFEST = "shard string, path string, rows long, bytes long, tier int"
 
 
@@ -17,6 +19,7 @@ MANIFEST = "shard string, path string, rows long, bytes long, tier int"
 class Settings:
     target_bytes: int = 64 << 20  # a merged file
     smallest_bytes: int = 256 << 10  # upper edge of the lowest tier
+    codec: str = "zstd"  # arrivals, the shuffle between and merged files are on disk together, so shards are packed well
     fanout: int = 4  # a tier spans sizes up to a factor of this, and is merged once it has so many runs
 
 
@@ -78,7 +81,7 @@ class Store:
         """Adds rows as small shards, one for each task that has any; nothing is shuffled or rewritten."""
         now = self.versions()
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        rows.write.parquet(folder)
+        rows.write.option("compression", self.settings.codec).parquet(folder)
         return self.commit(self.manifest().union(self._listed(folder)), now[-1] if now else 0)
 
     def plan(self, shards: DataFrame) -> DataFrame:
@@ -112,18 +115,18 @@ class Store:
             version = self._merge(live, chosen, order, version)
 
     def _merge(self, live: DataFrame, chosen: list[tuple[str, int]], order: str, version: int) -> int:
-        plan = self.spark.createDataFrame(chosen, "path string, run long")
-        paths = [p for p, _ in chosen]
-        rows = self.spark.read.parquet(*paths)
-        rows = rows.withColumn("_path", F.col("_metadata.file_path"))
-        runs = len({r for _, r in chosen})
-        index = plan.withColumn("_run", F.dense_rank().over(Window.orderBy("run")) - 1).select(F.col("path").alias("_path"), "_run")
+        number = {run: i for i, run in enumerate(sorted({r for _, r in chosen}))}
+        runs = len(number)
+        plan = self.spark.createDataFrame([(p, number[r]) for p, r in chosen], "_path string, _run int")
+        # A row for each shard of the round; without the hint the rows themselves may be shuffled to meet it.
+        index = F.broadcast(plan) if len(chosen) <= MOST_BROADCAST else plan
+        rows = self.spark.read.parquet(*[p for p, _ in chosen]).withColumn("_path", F.col("_metadata.file_path"))
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         merged = rows.join(index, "_path").drop("_path")
         # A run becomes one file, so it goes to one task; the target bounds its size.
         merged = merged.repartition(max(16, 4 * runs), "_run").sortWithinPartitions("_run", order)
-        merged.write.partitionBy("_run").parquet(folder)
-        kept = live.join(plan.select("path"), "path", "left_anti").select("shard", "path", "rows", "bytes", "tier")
+        merged.write.option("compression", self.settings.codec).partitionBy("_run").parquet(folder)
+        kept = live.join(plan.select(F.col("_path").alias("path")), "path", "left_anti").select("shard", "path", "rows", "bytes", "tier")
         return self.commit(kept.union(self._listed(folder)), version)
 
     def read(self, version: int | None = None, schema=None) -> DataFrame:
@@ -164,5 +167,5 @@ def shard(docs: DataFrame, order: str = "doc_id", settings: Settings = Settings(
     if not store.manifest().take(1):
         extra = "shard string, shard_rows long, shard_bytes long"
         return docs.sparkSession.createDataFrame([], docs.schema).join(docs.sparkSession.createDataFrame([], extra)).withColumn("version", F.lit(version))
-    rows = rows.withColumn("_path", F.col("_metadata.file_path")).join(live, "_path").drop("_path")
+    rows = rows.withColumn("_path", F.col("_metadata.file_path")).join(bounded_broadcast(live, MOST_BROADCAST), "_path").drop("_path")
     return rows.withColumn("version", F.lit(version))
