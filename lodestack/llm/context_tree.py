@@ -24,8 +24,8 @@ MOST_GRAMS, MOST_CONTEXTS = 1 << 20, 1 << 16
 #: counts of all others are joined.
 WORD_SHARE = 1 / 500_000
 END = b"\n"  # ends a text; no word holds it
-CHUNK = 6 << 20
-MOST_TALLY = 400_000
+CHUNK = 1 << 20
+MOST_TALLY = 200_000
 
 
 def canonical(text: bytes | None) -> list[bytes]:
@@ -85,8 +85,8 @@ def count(texts: DataFrame) -> DataFrame:
                     parts.clear()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                tokens = canonical(text)
+            for text in batch.column(0):
+                tokens = canonical(text.as_py())
                 tally.update(tokens)
                 tally[b""] += 1
                 held.append(b" ".join(tokens) + END)
@@ -94,7 +94,7 @@ def count(texts: DataFrame) -> DataFrame:
                 if size > CHUNK:
                     parts.append(_grams(held))
                     held, size = [], 0
-                    yield from grams(2_000_000)
+                    yield from grams(1_000_000)
                 if len(tally) > MOST_TALLY:
                     yield from words()
         if held:
@@ -295,29 +295,26 @@ def score(docs: DataFrame, folds: int = 7, out_fold: int = 2) -> DataFrame:
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("kinds")).first()
     tokens, kinds = sums["tokens"], sums["kinds"]
     tables = by_depth(counts.where("gram IS NOT NULL"))
-    often = {bytes(r["word"]): r["n"] for r in words.where(F.col("n") >= tokens * WORD_SHARE).toLocalIterator()}
-    shared = spark.sparkContext.broadcast((fit(tables), often))
+    logs = {bytes(r["word"]): float(np.log10(r["n"] + 1)) for r in words.where(F.col("n") >= tokens * WORD_SHARE).toLocalIterator()}
+    shared = spark.sparkContext.broadcast((fit(tables), logs))
     floor = float(np.log10(tokens + kinds + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, often = shared.value
-        logs = {w: float(np.log10(c + 1)) for w, c in often.items()}
+        model, logs = shared.value
         uid = TaskContext.get().partitionId() << 40
         digest, seed = xxhash.xxh64_intdigest, 42
-        for batch in batches:
-            ids, outs, texts = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+
+        def part(batch: pa.RecordBatch, texts: list[bytes | None], uid: int) -> Iterator[pa.RecordBatch]:
             n = len(texts)
             uids = np.arange(uid, uid + n)
-            uid += n
             n_tokens, known, base = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-            rare, times, of = [], [], []
-            plain, size, scores = [], 0, []
+            rare, times, of, plain = [], [], [], []
             for i, text in enumerate(texts):
-                tally = Counter(canonical(text))
-                plain.append(b" ".join(canonical(text)) + END)
-                size += len(plain[-1])
+                tokens = canonical(text)
+                plain.append(b" ".join(tokens) + END)
+                tally = Counter(tokens)
                 tally[b""] = 1
-                n_tokens[i] = tally.total()
+                n_tokens[i] = len(tokens) + 1
                 total, hits = 0.0, 0
                 for w, c in tally.items():
                     value = logs.get(w)
@@ -329,21 +326,28 @@ def score(docs: DataFrame, folds: int = 7, out_fold: int = 2) -> DataFrame:
                         total += c * value
                         hits += c
                 base[i], known[i] = total, hits
-                if size > CHUNK or i + 1 == n:
-                    scores.append(model.scores(plain))
-                    plain, size = [], 0
             lengths = np.array([len(t or b"") for t in texts], np.int64)
+            ids, outs = batch.column(0), batch.column(1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(uids), ids, pa.array(outs, pa.bool_()), pa.array(uids), pa.nulls(n, pa.int64()), pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(np.concatenate(scores) if n else np.zeros(0)), pa.array(lengths)],
+                [pa.array(uids), ids, outs, pa.array(uids), pa.nulls(n, pa.int64()), pa.array(n_tokens), pa.array(known), pa.array(base), pa.array(model.scores(plain)), pa.array(lengths)], schema=target
+            )
+            m = len(rare)
+            word = np.array(rare, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(uids[np.array(of, np.int64)]), pa.nulls(m, ids.type), pa.nulls(m, pa.bool_()), pa.array(word), pa.array(times, pa.int64()), *[pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]],
                 schema=target,
             )
-            for a in range(0, len(rare), 100_000):
-                k = np.array(rare[a : a + 100_000], np.uint64).view(np.int64)
-                m = len(k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(uids[of[a : a + m]]), pa.nulls(m, ids.type), pa.nulls(m, pa.bool_()), pa.array(k), pa.array(times[a : a + m], pa.int64()), *[pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())]],
-                    schema=target,
-                )
+
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:  # a few texts at a time, CHUNK bytes unless one alone has more
+                texts, size = [], 0
+                while at + len(texts) < batch.num_rows and (size < CHUNK or not texts):
+                    texts.append(batch.column(2)[at + len(texts)].as_py())
+                    size += len(texts[-1] or b"")
+                yield from part(batch.slice(at, len(texts)), texts, uid)
+                at += len(texts)
+                uid += len(texts)
 
     kind = docs.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
