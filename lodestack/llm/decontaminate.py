@@ -31,36 +31,32 @@ class Settings:
 def plain_words(text: Column) -> Column:
     """The text without punctuation around words and with one blank between them; the end of a sentence stays as a mark at
     its last word. It has as many words as its template."""
-    out = F.regexp_replace(text, rf"(?<=[\p{{L}}\p{{N}}%])[.!?]+[^\p{{L}}\p{{N}}{BLANK}]*(?=[{BLANK}]|$)", END)
-    out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}{BLANK}$€£%{END}]+(?=[{BLANK}]|$)|(?<=^|[{BLANK}])[^\p{{L}}\p{{N}}{BLANK}$€£]+", " ")
-    return F.trim(F.regexp_replace(out, f"[{BLANK}]+", " "))
+    out = F.regexp_replace(text, rf"[.!?]+(?<=[\p{{L}}\p{{N}}%][.!?]{{1,9}})[^\p{{L}}\p{{N}}{BLANK}]*(?=[{BLANK}]|$)", END)
+    # Each run of blanks with the punctuation on either side is one blank.
+    out = F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}{BLANK}$€£%{END}]*[{BLANK}]+[^\p{{L}}\p{{N}}$€£]*", " ")
+    return F.regexp_replace(out, rf"^[^\p{{L}}\p{{N}}$€£]+|[^\p{{L}}\p{{N}}$€£%{END}]+$", "")
 
 
 def template(words: Column) -> Column:
     """Replaces numbers, units after numbers and names inside sentences by placeholders of their types, in the output of
     plain_words; other words are in lower case (A-Z). The number of words stays."""
-    out = F.regexp_replace(words, r"(?<=[\p{Ll}\p{Nd}] )\p{Lu}[\p{L}'’-]*" + f"(?={END}? |{END}?$)", NAME)
-    out = F.regexp_replace(out, r"(?<![\p{L}\p{N}])[-+$€£]*\p{Nd}+(?:[.,:/]\p{Nd}+)*%?", NUMBER)
-    out = F.regexp_replace(out, rf"(?i)(?<={NUMBER})( ?)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?={END}? |{END}?$)", "$1" + UNIT)
+    # Each pattern starts with what is rare, so that most places fail at once.
+    out = F.regexp_replace(words, rf" (?<=[\p{{Ll}}\p{{Nd}}] )\p{{Lu}}[\p{{L}}'’-]*(?={END}? |{END}?$)", " " + NAME)
+    out = F.regexp_replace(out, r"(?=[-+$€£\p{Nd}])(?<![\p{L}\p{N}])[-+$€£]*\p{Nd}+(?:[.,:/]\p{Nd}+)*%?", NUMBER)
+    out = F.regexp_replace(out, rf"(?i){NUMBER}( ?)(?:{'|'.join(sorted(UNITS, key=len, reverse=True))})(?={END}? |{END}?$)", NUMBER + "$1" + UNIT)
     return F.translate(out, UPPER + END, UPPER.lower())
 
 
 def _hashes(words: str, n: int) -> Column:
-    """Hashes of all windows of n words of an array column, in order."""
-    return F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))),
-        lambda i: F.xxhash64(*[F.get(F.col(words), i + j) for j in range(n)]),
-    )
+    """Hashes of all windows of n words of an array column, in order; none if it has fewer."""
+    starts = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    return F.transform(starts, lambda w, i: F.xxhash64(w, *[F.get(F.col(words), i + j) for j in range(1, n)]))
 
 
 def _windows(rows: DataFrame, key: str, n: int) -> DataFrame:
-    """(key, at, h) for each window of n words of rows(key, words); rows of fewer words have none."""
-    enough = rows.where(F.size("words") >= n)
-    return enough.select(key, F.posexplode(_hashes("words", n)).alias("at", "h"))
-
-
-def _split(text: Column) -> Column:
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+    """(key, at, h) for each window of n words of rows(key, words). Rows with fewer words aren't filtered out first: a
+    condition on the words would be evaluated with them once more."""
+    return rows.select(key, F.posexplode(_hashes("words", n)).alias("at", "h"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -78,7 +74,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     other columns are ignored. Only the benchmark's windows are broadcast, and only if a count bounds them."""
     n = settings.window
     items = benchmark.select("item_id", plain_words(F.col("text")).alias("raw")).where("raw <> ''").distinct()
-    items = items.select("item_id", _split(F.col("raw")).alias("raw"), _split(template(F.col("raw"))).alias("words"))
+    items = items.select("item_id", F.split("raw", " ").alias("raw"), F.split(template(F.col("raw")), " ").alias("words"))
     items = stored(items.where(F.size("raw") == F.size("words")), "items")
     # Items shorter than a window are matched whole, at their own length.
     lengths = [n] + [r[0] for r in items.where(F.size("words") < n).select(F.size("words").alias("n")).distinct().collect()]
@@ -92,7 +88,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     total = grams.groupBy("item_id").agg(F.countDistinct("h").alias("item_windows"))
     small = grams.count() <= settings.most_broadcast
     whole = docs.select("doc_id", plain_words(F.col("text")).alias("raw"))
-    words = whole.select("doc_id", _split(template(F.col("raw"))).alias("words"))
+    words = whole.select("doc_id", F.split(template(F.col("raw")), " ").alias("words"))
     hits = None
     for m in lengths:
         known = grams.where(F.col("n") == m).drop("n")
@@ -110,7 +106,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     slots = hits.join(marked, "item_id").where("place >= item_at AND place < item_at + n")
     slots = stored(slots.select("doc_id", "item_id", "shift", "place", "word", "value", (F.col("place") + F.col("shift")).alias("doc_place")).distinct(), "slots")
     needed = slots.select("doc_id").distinct()
-    texts = whole.join(needed, "doc_id", "left_semi").select("doc_id", _split(F.col("raw")).alias("doc_words"))
+    texts = whole.join(needed, "doc_id", "left_semi").select("doc_id", F.split("raw", " ").alias("doc_words"))
     values = slots.join(texts, "doc_id").withColumn("doc_value", F.translate(F.get("doc_words", F.col("doc_place")), END, ""))
     by_value = values.groupBy("doc_id", "item_id", "shift", "word", "value").agg(F.countDistinct("doc_value").alias("kinds"))
     broken = by_value.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("slots"), F.sum((F.col("kinds") > 1).cast("long")).alias("broken"))
