@@ -28,12 +28,12 @@ def exact_top_k(vectors: DataFrame, k: int = 50, block: int = BLOCK, queries: Da
     others = F.sequence(F.lit(0), F.lit(blocks - 1))
     asked = rows if queries is None else rows.join(queries.select(F.col("id").cast("string").alias("id")).distinct(), "id", "left_semi")
     q = asked.select("id", "v", F.col("b").alias("qb"), F.explode(others).alias("cb"))
-    c = rows.select("id", "v", F.explode(others).alias("qb"), F.col("b").alias("cb"))
+    c = rows.select(F.col("id").alias("other"), F.col("v").alias("w"), F.explode(others).alias("to"), F.col("b").alias("of"))
 
     def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(t.column("id").to_pylist(), object)
+        ids = np.array(t.column(0).to_pylist(), object)
         order = np.argsort(ids.astype(str), kind="stable")
-        x = np.array(t.column("v").to_pylist(), np.float64).reshape(len(ids), -1)[order]
+        x = np.array(t.column(1).to_pylist(), np.float64).reshape(len(ids), -1)[order]
         size = np.sqrt((x * x).sum(1))
         return ids[order], x * np.divide(1.0, size, out=np.zeros_like(size), where=size > 0)[:, None]
 
@@ -54,7 +54,7 @@ def exact_top_k(vectors: DataFrame, k: int = 50, block: int = BLOCK, queries: Da
             out_s.append(s[i, j])
         return pa.table({"id": pa.array(np.concatenate(out_a), pa.string()), "neighbour": pa.array(np.concatenate(out_b), pa.string()), "score": np.concatenate(out_s)})
 
-    found = q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInArrow(product, "id string, neighbour string, score double")
+    found = q.groupBy("qb", "cb").cogroup(c.groupBy("to", "of")).applyInArrow(product, "id string, neighbour string, score double")
     best = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
