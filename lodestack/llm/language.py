@@ -86,11 +86,14 @@ def fit(texts: dict[str, list[bytes]]) -> Model:
     grams = {}
     for k in languages:
         s = symbol[streams[k]].astype(np.int64)
+        text = np.ones(len(s) - ORDER, bool)  # the places of texts, without the padding between them
+        for end in np.cumsum([len(t) + ORDER for t in texts[k]])[:-1]:
+            text[end - ORDER : end] = False
         for d in range(ORDER + 1):
             code = np.zeros(len(s) - ORDER, np.int64)
             for i in range(d + 1):
                 code = code * w + s[ORDER - d + i : len(s) - d + i]
-            grams[k, d] = np.unique(code, return_counts=True)
+            grams[k, d] = np.unique(code[text], return_counts=True)
     rows = {0: np.zeros(1, np.int64)}
     for d in range(1, ORDER + 1):
         rows[d] = np.unique(np.concatenate([grams[k, d][0] // w for k in languages]))

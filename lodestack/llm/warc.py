@@ -116,7 +116,10 @@ def _parse(data: bytes | bytearray, whole: bool) -> tuple[dict[str, str], bytes,
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damage("header without a colon")
-        headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        name = name.decode("utf-8", "replace").strip().lower()
+        if name in headers and name != "warc-concurrent-to":  # what is left of one record's headers runs into the next record
+            raise Damage("header twice")
+        headers[name] = value.decode("utf-8", "replace").strip()
     length = headers.get("content-length", "")
     if not length.isascii() or not length.isdigit():
         raise Damage("no length")
