@@ -23,6 +23,12 @@ COMMON = frozenset(
     b"the of and to in a is that it for on was with as by this are be from at de la le les et des en un une que du pour "
     b"par sur avec aux qui der die das und ist nicht ein eine mit den auf zu von el los las se del con es y su".split()
 )
+#: Shares that a text is taken to have before it is read, weighing as this many bytes or words: a short text says little.
+PRIOR = {
+    "alpha": 0.81, "digit": 0.002, "space": 0.16, "punct": 0.03, "upper": 0.02, "upper_words": 0.005, "word_variety": 0.8, "word_bytes": 5.3, "stops": 0.22,
+    "commas": 0.06, "short_words": 0.35, "top_word": 0.08, "repeated_next": 0.005, "symbol_words": 0.01,
+}
+PRIOR_BYTES, PRIOR_WORDS = 100, 16
 _SYMBOL = re.compile(rb"[^\w\s.,;:'\"()\x80-\xff-]")
 _ALPHA = np.zeros(256, bool)
 _ALPHA[65:91] = _ALPHA[97:123] = _ALPHA[128:] = True
@@ -33,9 +39,7 @@ _SPACE[[32, 9, 10, 11, 12, 13]] = True
 def statistics(text: bytes) -> list[float]:
     """The statistics of one whole text; an empty one has the statistics of no words."""
     counts = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
-    n = max(1, len(text))
     words = text.split()
-    k = max(1, len(words))
     alpha, digit, space = counts[_ALPHA].sum(), counts[48:58].sum(), counts[_SPACE].sum()
     upper = counts[65:91].sum()
     tally = Counter(words)
@@ -45,17 +49,20 @@ def statistics(text: bytes) -> list[float]:
     stops = sum(c for w, c in tally.items() if w.lower() in COMMON)
     short = sum(c for w, c in tally.items() if len(w) <= 3)
     same = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    of_bytes = lambda name, count: (count + PRIOR[name] * PRIOR_BYTES) / (len(text) + PRIOR_BYTES)
+    of_words = lambda name, count: (count + PRIOR[name] * PRIOR_WORDS) / (len(words) + PRIOR_WORDS)
     return [
-        np.log1p(len(words)), alpha / n, digit / n, space / n, (len(text) - alpha - digit - space) / n, upper / max(1, alpha), shouted / k,
-        len(tally) / k, (len(text) - space) / k, np.log1p(max(lengths, default=0)), stops / k, counts[44] / k, short / k,
-        max(tally.values(), default=0) / k, same / k, marked / k,
+        np.log1p(len(words)), of_bytes("alpha", alpha), of_bytes("digit", digit), of_bytes("space", space), of_bytes("punct", len(text) - alpha - digit - space),
+        of_bytes("upper", upper), of_words("upper_words", shouted), of_words("word_variety", len(tally)), of_words("word_bytes", len(text) - space),
+        np.log1p(max(lengths, default=0)), of_words("stops", stops), of_words("commas", counts[44]), of_words("short_words", short),
+        of_words("top_word", max(tally.values(), default=0)), of_words("repeated_next", same), of_words("symbol_words", marked),
     ]
 
 
 @dataclass(frozen=True)
 class Settings:
-    toward_pooled: float = 0.2  # shrinkage of a class covariance to the pooled one
-    toward_sphere: float = 0.05  # then to the sphere of the same trace
+    toward_pooled: float = 0.15  # shrinkage of a class covariance to the pooled one
+    toward_sphere: float = 0.02  # then to the sphere of the same trace
     threshold: float = 0.3
 
 
