@@ -144,19 +144,31 @@ def _sums(rows: DataFrame, dim: int) -> DataFrame:
         if held is not None:
             yield held
 
-    schema = "key long, n long, v array<float>"
+    schema = "key long, n long, v binary"
     return rows.mapInArrow(partial, schema).repartition("key").sortWithinPartitions("key").mapInArrow(final, schema)
 
 
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors as rows; they travel as bytes, which are copied whole, not element by element."""
+    if not len(column):
+        return np.zeros((0, dim), np.float32)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.float32).reshape(-1, dim)
+
+
+def _bytes(v: np.ndarray) -> pa.Array:
+    offsets = pa.py_buffer((np.arange(len(v) + 1) * v.shape[1] * 4).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(v), [None, offsets, pa.py_buffer(np.ascontiguousarray(v, np.float32))])
+
+
 def _added(batch: pa.RecordBatch, dim: int) -> pa.RecordBatch:
     keys, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    v = batch.column(2).flatten().to_numpy().reshape(-1, dim).astype(np.float64)
+    v = _matrix(batch.column(2), dim)
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
     start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    total = np.add.reduceat(v[order], start, 0).astype(np.float32)
-    flat = pa.ListArray.from_arrays(pa.array(np.arange(len(start) + 1) * dim, pa.int32()), pa.array(total.ravel()))
-    return pa.RecordBatch.from_arrays([pa.array(keys[start]), pa.array(np.add.reduceat(n[order], start)), flat], names=["key", "n", "v"])
+    total = np.add.reduceat(v[order], start, 0, np.float64)
+    return pa.RecordBatch.from_arrays([pa.array(keys[start]), pa.array(np.add.reduceat(n[order], start)), _bytes(total)], names=["key", "n", "v"])
 
 
 def fastrp(edges: DataFrame, config: FastRP = FastRP(), kinds: tuple[str, ...] | None = None) -> DataFrame:
@@ -181,26 +193,24 @@ def fastrp(edges: DataFrame, config: FastRP = FastRP(), kinds: tuple[str, ...] |
         for batch in batches:
             keys = batch.column(0).to_numpy()
             r = projection(keys.view(np.uint64), dim, config.seed) * batch.column(1).to_numpy()[:, None].astype(np.float32)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * dim, pa.int32()), pa.array(r.astype(np.float32).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["key", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _bytes(r)], names=["key", "v"])
 
     def scaled(rows: DataFrame, weight: float, mean: bool) -> DataFrame:
         """Vectors at a length of weight, or their means."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                v = batch.column(2).flatten().to_numpy().reshape(-1, dim)
+                v = _matrix(batch.column(2), dim)
                 if mean:
                     v = v / batch.column(1).to_numpy()[:, None].astype(np.float32)
                 else:
                     size = np.sqrt((v.astype(np.float64) ** 2).sum(1))
                     v = v * np.where(size > 0, weight / np.where(size > 0, size, 1), 0).astype(np.float32)[:, None]
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * dim, pa.int32()), pa.array(v.astype(np.float32).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["key", "n", "v"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _bytes(v)], names=["key", "n", "v"])
 
-        return rows.select("key", "n", "v").mapInArrow(run, "key long, n long, v array<float>")
+        return rows.select("key", "n", "v").mapInArrow(run, "key long, n long, v binary")
 
-    now = _kept(start.mapInArrow(project, "key long, v array<float>").withColumn("n", F.lit(1).cast("long")), spark)
+    now = _kept(start.mapInArrow(project, "key long, v binary").withColumn("n", F.lit(1).cast("long")), spark)
     terms = [scaled(now, config.self_weight, False)] if config.self_weight else []
     last = max(k for k, w in enumerate(config.weights) if w)
     for k in range(last + 1):
@@ -211,4 +221,22 @@ def fastrp(edges: DataFrame, config: FastRP = FastRP(), kinds: tuple[str, ...] |
     total = _sums(reduce(DataFrame.unionByName, terms), dim).join(points, F.col("key") == F.col("node_key"))
     if kinds:
         total = total.where(F.substring_index("vertex", ":", 1).isin(*kinds))
-    return total.select("vertex", F.col("v").alias("embedding"))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _matrix(batch.column(1), dim)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * dim, pa.int32()), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["vertex", "embedding"])
+
+    return total.select("vertex", "v").mapInArrow(unpack, "vertex string, embedding array<float>")
+
+
+def vertex_sample(points: DataFrame, n: int, seed: int) -> DataFrame:
+    """The n vertices of keyed(vertex, node_key) whose keys mixed with a seed are least, unsigned: the same for any order of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mixed = splitmix(batch.column(1).to_numpy().view(np.uint64) ^ np.uint64(seed))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((mixed ^ np.uint64(1 << 63)).view(np.int64))], names=["vertex", "node_key", "place"])
+
+    return points.select("vertex", "node_key").mapInArrow(run, "vertex string, node_key long, place long").orderBy("place").limit(n).drop("place")

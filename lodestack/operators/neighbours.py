@@ -161,3 +161,60 @@ def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """The n rows whose keys hash lowest: the same rows for a seed, whatever the order of the input."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
     return rows.withColumn("_h", h).orderBy("_h", key).limit(n).drop("_h")
+
+
+def recall_by_degree(recall: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(bucket, queries, strict, tolerant): means of recall_at() by the degree of the query; degrees(id, degree)."""
+    rows = recall.join(degrees.select("id", degree_bucket(F.col("degree")).alias("bucket")), "id")
+    return rows.groupBy("bucket").agg(F.count("*").alias("queries"), F.avg("strict").alias("strict"), F.avg("tolerant").alias("tolerant"))
+
+
+def _cosine(a: str, b: str) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+    size = F.sqrt(dot(F.col(a), F.col(a))) * F.sqrt(dot(F.col(b), F.col(b)))
+    return F.when(size > 0, dot(F.col(a), F.col(b)) / size).otherwise(0.0)
+
+
+def reranked(found: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """The first k of over-fetched pairs(id, neighbour) by their exact cosines: (id, neighbour, score, rank)."""
+    of = lambda i, v: vectors.select(F.col("id").cast("string").alias(i), F.col("embedding").alias(v))
+    rows = found.select("id", "neighbour").distinct().join(of("id", "v"), "id").join(of("neighbour", "w"), "neighbour")
+    rows = rows.select("id", "neighbour", _cosine("v", "w").alias("score"))
+    best = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
+    return rows.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def accepted(stored: DataFrame, truth: DataFrame, tolerance: float = 1e-5) -> DataFrame:
+    """(queries, recall, worst_error, violations) of stored lists(id, neighbours, scores) against exact pairs(id, neighbour, score,
+    rank): the share of true neighbours stored, the largest error of a score, and the neighbours that are out of order, stored
+    without being true, or missing while their score is above the last stored one by more than tolerance."""
+    pairs = stored.select("id", F.posexplode(F.arrays_zip("neighbours", "scores")).alias("at", "x")).select("id", "at", F.col("x.neighbours").alias("neighbour"), F.col("x.scores").cast("double").alias("got"))
+    order = Window.partitionBy("id").orderBy("at")
+    pairs = pairs.withColumn("falls", F.coalesce(F.col("got") > F.lag("got").over(order) + tolerance, F.lit(False)))
+    both = truth.select("id", "neighbour", "score").join(pairs, ["id", "neighbour"], "full").join(pairs.groupBy("id").agg(F.min("got").alias("edge")), "id", "left")
+    wrong = F.coalesce(F.col("falls"), F.lit(False)) | (F.col("got").isNull() & (F.col("score") > F.coalesce("edge", F.lit(-2.0)) + tolerance)) | (F.col("score").isNull() & F.col("got").isNotNull())
+    return both.agg(
+        F.countDistinct("id").alias("queries"), (F.count_if(F.col("got").isNotNull() & F.col("score").isNotNull()) / F.count("score")).alias("recall"),
+        F.max(F.abs(F.col("got") - F.col("score"))).alias("worst_error"), F.count_if(wrong).alias("violations"),
+    )
+
+
+def spooled_top_k(vectors: DataFrame, root: str, k: int = 50, block: int = BLOCK, stop=lambda: False) -> DataFrame | None:
+    """exact_top_k() in parts that survive a stop: the queries of each block are written under root as they are done, and parts that
+    are there aren't computed again. None if `stop` said so before the last part; then a later call goes on."""
+    from lodestack.sources.storage import Folder
+
+    spark = vectors.sparkSession
+    folder = Folder(spark, root)
+    identity = f"{k}:{block}:{vectors.agg(F.count('*'), F.sum(F.xxhash64('id', 'embedding').cast('decimal(38,0)'))).first()}"
+    if not folder.create("identity", identity) and folder.read("identity") != identity:
+        raise ValueError("the spool is of other vectors or parameters")
+    blocks = max(1, -(-vectors.count() // block))
+    part = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(blocks))
+    for i in range(blocks):
+        if folder.exists(f"part-{i}/_SUCCESS"):
+            continue
+        if stop():
+            return None
+        exact_top_k(vectors, k, block, vectors.where(part == i)).write.mode("overwrite").parquet(f"{root}/part-{i}")
+    return spark.read.parquet(*[f"{root}/part-{i}" for i in range(blocks)])

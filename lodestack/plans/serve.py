@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.operators import catalogue, lifecycle
+from lodestack.plans import status
 from lodestack.sources.snapshots import SnapshotStore
 
 
@@ -125,3 +126,11 @@ def style_atlas(store: SnapshotStore, rule: lifecycle.Rule = lifecycle.RULE) ->
         "genres": here.orderBy("ring_order"), "styles": styles.orderBy("style"), "ghosts": nodes.where("node_kind = 'ghost'").select("style", "genre", "x", "y").orderBy("style", "genre"),
         "masters": landmarks.orderBy("style", "rank"),
     }
+
+
+def computation_status(store: SnapshotStore, kinds: list[str], now: datetime) -> DataFrame:
+    """The status of every computation; never_run for those that the log doesn't know."""
+    runs = store.runs()
+    if runs is None:
+        runs = store.spark.createDataFrame([], "id string, insight_type string, status string, started_at timestamp_ntz")
+    return status.latest(runs, kinds, now)

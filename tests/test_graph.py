@@ -73,3 +73,9 @@ def test_version_names_every_parameter():
     assert FastRP().model_version == "fastrp-v2:dim=128:weights=0,1,1,1,1:beta=0:self=0.05:proj=achlioptas-s3:rows=splitmix64(blake2b64(kind,key)):seed=20260924"
     with pytest.raises(ValueError):
         FastRP(weights=(0.0, 0.0))
+
+
+def test_vertex_sample_is_of_the_least_mixed_keys(spark):
+    points = graph.keyed(spark.createDataFrame([(f"a:{i}",) for i in range(200)], "vertex string"))
+    want = sorted((splitmix_of(node_key_of("a", str(i)) ^ 5), f"a:{i}") for i in range(200))[:17]
+    assert {r["vertex"] for r in graph.vertex_sample(points.repartition(3), 17, 5).collect()} == {v for _, v in want}

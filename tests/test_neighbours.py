@@ -79,3 +79,30 @@ def test_bootstrap_holds_the_mean_and_repeats(spark):
     assert neighbours.bootstrap(rows.repartition(3), "x", 400).first() == pytest.approx(a)
     assert neighbours.hash_sample(rows, "id", 20).count() == 20
     assert neighbours.hash_sample(rows.repartition(5), "id", 20).collect() == neighbours.hash_sample(rows, "id", 20).collect()
+
+
+def test_rerank_accept_and_buckets(spark):
+    x = np.random.default_rng(4).normal(size=(40, 6))
+    v = frame(spark, x)
+    truth = neighbours.exact_top_k(v, 5)
+    wide = neighbours.exact_top_k(v, 12).select("id", "neighbour")
+    key = lambda df: sorted((r["id"], r["neighbour"], r["rank"], round(r["score"], 5)) for r in df.collect())
+    assert key(neighbours.reranked(wide, v, 5)) == key(truth)
+    fine = neighbours.accepted(neighbours.neighbour_lists(truth), truth).first()
+    assert fine["queries"] == 40 and fine["recall"] == 1 and fine["violations"] == 0 and fine["worst_error"] < 1e-6
+    lost = neighbours.accepted(neighbours.neighbour_lists(truth.where("rank <> 2")), truth).first()
+    assert lost["recall"] == 0.8 and lost["violations"] == 40
+    r = spark.createDataFrame([("a", 1.0, 1.0), ("b", 0.0, 0.5)], "id string, strict double, tolerant double")
+    d = spark.createDataFrame([("a", 2), ("b", 3)], "id string, degree long")
+    assert tuple(neighbours.recall_by_degree(r, d).first()) == ("2-3", 2, 0.5, 0.75)
+
+
+def test_spool_stops_and_goes_on(spark, tmp_path):
+    v = frame(spark, np.random.default_rng(5).normal(size=(50, 4)))
+    root, calls = f"file://{tmp_path}/spool", []
+    assert neighbours.spooled_top_k(v, root, 4, 10, lambda: len(calls) >= 2 or calls.append(1)) is None
+    done = neighbours.spooled_top_k(v, root, 4, 10)
+    want = neighbours.exact_top_k(v, 4)
+    assert sorted(map(tuple, done.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError):
+        neighbours.spooled_top_k(v.limit(49), root, 4, 10)

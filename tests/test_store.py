@@ -113,6 +113,8 @@ def test_run_log_and_locks(spark, store):
     assert "division" in jobs.recorded(store, "bad", lambda: 1 / 0)
     store.log("hung", "running", "r1")
     assert store.sweep() == 1 and store.sweep() == 0
+    seen = {r["insight_type"]: r["status"] for r in serve.computation_status(store, ["ok", "bad", "new"], datetime(2030, 1, 1)).collect()}
+    assert seen == {"ok": "completed", "bad": "failed", "new": "never_run"}
     assert {r["insight_type"]: r["status"] for r in store.runs().collect()} == {"ok": "completed", "bad": "failed", "hung": "interrupted"}
     assert store.lock("l") and not store.lock("l")
     store.unlock("l")
@@ -221,3 +223,10 @@ def test_stream_reaches_the_same_days_as_the_batch(spark, store, tmp_path):
     q = again.writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == whole.count()
+
+
+def test_config_falls_back():
+    from lodestack.plans.config import Config
+
+    assert Config.from_env({}) == Config() and Config.from_env({"ENGINE_TOP_K": "x", "ENGINE_MILESTONES": "a,b"}) == Config()
+    assert Config.from_env({"ENGINE_TOP_K": "9", "ENGINE_MILESTONES": "1, 2"}) == Config(top_k=9, milestones=(1, 2))
