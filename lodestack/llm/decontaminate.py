@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import UPPER, stored
@@ -25,6 +25,7 @@ BLANK = r"\x20\x09-\x0D"
 class Settings:
     window: int = 5  # words of a template window
     coverage: float = 0.5  # share of an item's windows, with consistent slots, that contaminates a document
+    literal: int = 3  # words of a whole window that are no placeholders, where an item has such windows
     most_broadcast: int = 500_000  # windows of the benchmark, 24 bytes each, that are broadcast; more are joined by a shuffle
 
 
@@ -84,7 +85,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     grams = parts[0]
     for p in parts[1:]:
         grams = grams.union(p)
-    grams = stored(grams.withColumnRenamed("at", "item_at"), "grams")
+    # A window of little but placeholders fits anything of its shape: it counts only if its item has no other.
+    plain = F.size(F.filter(F.slice("words", F.col("at") + 1, n), lambda w: ~w.rlike(f"[{NUMBER}{NAME}{UNIT}]")))
+    grams = grams.join(items.select("item_id", "words"), "item_id").withColumn("plain", (F.col("n") < n) | (plain >= settings.literal))
+    grams = grams.withColumn("any", F.max("plain").over(Window.partitionBy("item_id"))).where("plain OR NOT any")
+    grams = stored(grams.select("item_id", F.col("at").alias("item_at"), "h", "n"), "grams")
     total = grams.groupBy("item_id").agg(F.countDistinct("h").alias("item_windows"))
     small = grams.count() <= settings.most_broadcast
     whole = docs.select("doc_id", plain_words(F.col("text")).alias("raw"))

@@ -70,8 +70,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies: int =
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: each row of docs, with all its columns, as often as mix() takes it."""
     base = stored(_placed(docs.select("doc_id", "text", "source"), seed).drop("text"), "mix")
-    rows = _decided(_placed(docs, seed), _plan(base, weights, most_copies)).where("copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    whole = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))  # whatever the other columns are named
+    rows = _decided(_placed(whole, seed).drop("text"), _plan(base, weights, most_copies)).where("copies > 0")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy")).select("_row.*")
 
 
 def _placed(docs: DataFrame, seed: str) -> DataFrame:

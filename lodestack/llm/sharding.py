@@ -12,6 +12,8 @@ from lodestack.llm.common import bounded_broadcast, scratch_path
 
 #: So many shards of a round, or of a version, are broadcast by name; more are joined by a shuffle.
 MOST_BROADCAST = 100_000
+#: Columns that rows have only on their way.
+RUN, PATH = "lodestack_run", "lodestack_path"
 MANIFEST = "shard string, path string, rows long, bytes long, tier int"
 
 
@@ -117,16 +119,16 @@ class Store:
     def _merge(self, live: DataFrame, chosen: list[tuple[str, int]], order: str, version: int) -> int:
         number = {run: i for i, run in enumerate(sorted({r for _, r in chosen}))}
         runs = len(number)
-        plan = self.spark.createDataFrame([(p, number[r]) for p, r in chosen], "_path string, _run int")
+        plan = self.spark.createDataFrame([(p, number[r]) for p, r in chosen], f"{PATH} string, {RUN} int")
         # A row for each shard of the round; without the hint the rows themselves may be shuffled to meet it.
         index = F.broadcast(plan) if len(chosen) <= MOST_BROADCAST else plan
-        rows = self.spark.read.parquet(*[p for p, _ in chosen]).withColumn("_path", F.col("_metadata.file_path"))
+        rows = self.spark.read.parquet(*[p for p, _ in chosen]).withColumn(PATH, F.col("_metadata.file_path"))
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        merged = rows.join(index, "_path").drop("_path")
+        merged = rows.join(index, PATH).drop(PATH)
         # A run becomes one file, so it goes to one task; the target bounds its size.
-        merged = merged.repartition(max(16, 4 * runs), "_run").sortWithinPartitions("_run", order)
-        merged.write.option("compression", self.settings.codec).partitionBy("_run").parquet(folder)
-        kept = live.join(plan.select(F.col("_path").alias("path")), "path", "left_anti").select("shard", "path", "rows", "bytes", "tier")
+        merged = merged.repartition(max(16, 4 * runs), RUN).sortWithinPartitions(RUN, order)
+        merged.write.option("compression", self.settings.codec).partitionBy(RUN).parquet(folder)
+        kept = live.join(plan.select(F.col(PATH).alias("path")), "path", "left_anti").select("shard", "path", "rows", "bytes", "tier")
         return self.commit(kept.union(self._listed(folder)), version)
 
     def read(self, version: int | None = None, schema=None) -> DataFrame:
@@ -156,16 +158,24 @@ def shard(docs: DataFrame, order: str = "doc_id", settings: Settings = Settings(
     docs, with shard, shard_rows and shard_bytes of the file each row now lies in, and the version.
 
     Every row, with nulls, repeated rows and whole texts as they are, lies in exactly one shard; rows of a merged shard are in
-    the order of `order`, nulls first. An empty table commits a version without shards and gives no rows. Columns of docs
-    must not be named as the four added ones or start with "_run"."""
+    the order of `order`, nulls first. An empty table commits a version without shards and gives no rows. If docs has a column of
+    an added one's name, the added one gets an underscore behind its name."""
     store = Store(docs.sparkSession, scratch_path(docs.sparkSession, "shards"), settings)
     store.append(docs)
     version = store.compact(order)
     store.vacuum()
-    live = store.manifest().select(F.col("path").alias("_path"), "shard", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"))
-    rows = store.read(schema=docs.schema)
-    if not store.manifest().take(1):
-        extra = "shard string, shard_rows long, shard_bytes long"
-        return docs.sparkSession.createDataFrame([], docs.schema).join(docs.sparkSession.createDataFrame([], extra)).withColumn("version", F.lit(version))
-    rows = rows.withColumn("_path", F.col("_metadata.file_path")).join(bounded_broadcast(live, MOST_BROADCAST), "_path").drop("_path")
-    return rows.withColumn("version", F.lit(version))
+    added = [free_name(n, docs.columns) for n in ("shard", "shard_rows", "shard_bytes", "version")]
+    live = store.manifest().select(F.col("path").alias(PATH), *[F.col(c).alias(n) for c, n in zip(("shard", "rows", "bytes"), added, strict=False)])
+    if not live.take(1):
+        none = docs.sparkSession.createDataFrame([], docs.schema)
+        kinds = ("string", "long", "long", "int")
+        return none.select("*", *[F.lit(None).cast(k).alias(n) for n, k in zip(added, kinds, strict=True)])
+    rows = store.read().withColumn(PATH, F.col("_metadata.file_path")).join(bounded_broadcast(live, MOST_BROADCAST), PATH).drop(PATH)
+    return rows.withColumn(added[3], F.lit(version))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores behind it until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name

@@ -56,6 +56,12 @@ def test_shuffled_when_the_benchmark_is_large(spark):
     assert set(found(spark, docs, ITEM, most_broadcast=0)) == {(1, 0)}
 
 
+def test_windows_of_little_but_placeholders_do_not_count(spark):
+    item = "We met Ann Bob Cy Dee Eve Fay Gus Hal at noon by the old mill"
+    docs = table(spark, [(1, "We met Kim Lee Moe Ned Oz Pat at noon but left", "en", "a"), (2, item.replace("Ann", "Kim"), "en", "a")])
+    assert found(spark, docs, item).keys() == {(2, 0)} and found(spark, docs, item, literal=0).keys() == {(1, 0), (2, 0)}
+
+
 def brute(docs, items, n=5):
     """Verbatim items without placeholders: shares of item windows in a document."""
     out = {}

@@ -42,7 +42,8 @@ def test_takes_come_near_targets_and_repeat(spark):
     assert sorted(rows.collect()) == sorted(mixing.mix(docs.repartition(2)).collect())
     again = mixing.mixed(docs).groupBy("doc_id").count()
     assert {r["doc_id"]: r["count"] for r in again.collect()} == {r["doc_id"]: r["copies"] for r in rows.where("copies > 0").collect()}
-    assert mixing.mixed(docs).columns == docs.columns
+    clash = docs.withColumns({c: F.lit(c) for c in ("target", "_key", "whole", "copies", "edge", "_row")})
+    assert mixing.mixed(clash).columns == clash.columns and mixing.mixed(clash).where("_size <> 7 OR copies <> 'copies' OR target <> 'target'").count() == 0
 
 
 def test_inclusion_is_even_within_a_source(spark):

@@ -85,5 +85,7 @@ def test_odd_rows_and_empty_tables(spark):
     assert out.columns == [*docs.columns, "shard", "shard_rows", "shard_bytes", "version"]
     assert rows_of(out.select(docs.columns)) == rows_of(docs)
     assert out.groupBy("shard", "shard_rows").count().where("count <> shard_rows").count() == 0
+    clash = s.shard(docs.withColumn("shard", F.lit(1)).withColumn("Version", F.lit(2)))
+    assert clash.columns[-4:] == ["shard_", "shard_rows", "shard_bytes", "version_"] and clash.where("shard = 1").count() == len(odd())
     none = s.shard(docs.limit(0))
     assert none.count() == 0 and none.columns == out.columns
