@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm import decontaminate, mixing, ngram_join, quality, sharding
-from lodestack.llm.common import read_table, stored
+from lodestack.llm.common import read_table, small_batches, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; each row is judged by its own text."""
+    small_batches(spark)
     return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
 
 

@@ -33,11 +33,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lodestack/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows of an Arrow batch while a stored table is made: texts of a batch lie in the JVM and in Python at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on, Arrow batches of this session have at most BATCH_ROWS rows; for plans that the caller runs."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(rows))
+    spark.conf.set(rows, min(now if now > 0 else BATCH_ROWS, BATCH_ROWS))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives a lost executor."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    small_batches(spark)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

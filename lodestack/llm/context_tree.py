@@ -19,7 +19,7 @@ from lodestack.llm.common import fold, stored
 DEPTH = 5
 #: Of each depth, the most frequent grams that the predictor is built from, and the most frequent contexts it keeps; all,
 #: where there are no more.
-MOST_GRAMS, MOST_CONTEXTS = 1 << 20, 1 << 16
+MOST_GRAMS, MOST_CONTEXTS = 1 << 19, 1 << 15
 #: A word is looked up on the spot if it has at least this share of all tokens, so at most 1 / share are broadcast; the
 #: counts of all others are joined.
 WORD_SHARE = 1 / 500_000
@@ -367,7 +367,8 @@ def score(docs: DataFrame, folds: int = 7, out_fold: int = 2) -> DataFrame:
         (F.max("known") + F.sum(hit)).alias("n_known"), (F.max("base") + F.sum(part)).alias("base"), F.max("score").alias("score"), F.max("bytes").alias("bytes"),
     )
     bits = F.when(F.col("bytes") > 0, -F.col("score") / float(np.log10(2)) / F.col("bytes")).otherwise(0.0)
-    return whole.select(
+    scores = whole.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * floor).alias("base_score"), "score", bits.alias("bits_per_byte"),
     )
+    return stored(scores, "scores")

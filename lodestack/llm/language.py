@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import fold
+from lodestack.llm.common import fold, stored
 
 #: Longest context, in bytes.
 ORDER = 3
@@ -182,4 +182,5 @@ def identify(docs: DataFrame, folds: int = 3, out_fold: int = 1, train_bytes: in
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
     found = rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    found = stored(found, "languages")
     return found.select("doc_id", (fold("doc_id", folds) == out_fold).alias("held_out"), "lang_pred", "score", "bits_per_byte")

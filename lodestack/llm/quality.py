@@ -81,7 +81,7 @@ def features(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            rows = [statistics(t.as_py() or b"") for t in batch.column(1)]
             x = transformed(np.array(rows, np.float64).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "f"])
 
@@ -198,7 +198,7 @@ def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5, settings: Setti
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [statistics(t or b"") for t in batch.column(text).cast(pa.binary()).to_pylist()]
+            rows = [statistics((t.as_py() or "").encode()) for t in batch.column(text)]
             x = transformed(np.array(rows, np.float64).reshape(-1, len(FEATURES)))
             yield pa.RecordBatch.from_arrays(batch.columns, names=place).filter(pa.array(model.scores(x) >= settings.threshold, pa.bool_()))
 
