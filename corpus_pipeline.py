@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestack.llm import decontaminate, mixing, ngram_join, quality, sharding
-from lodestack.llm.common import read_table, small_batches, stored
+from lodestack.llm.common import read_table, small_batches, stored, without
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each component of the n-gram join (five words, similarity 0.8), the row with the least doc_id; of rows that repeat
     that id, one. Documents without words, and rows without an id, stay."""
     found = stored(ngram_join.join(docs, ngram_join.Settings(words=5, percent=80)).select("doc_id", "n_shingles", "component_id"), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = without(docs, "doc_id", found.where("doc_id <> component_id").select("doc_id").distinct())
     twice = stored(found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if not twice.take(1):
         return left
@@ -32,7 +31,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     pairs = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
     gone = stored(pairs.select("doc_id").distinct(), "contaminated")
     missing = gone.where("doc_id IS NULL").take(1)
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = without(docs, "doc_id", gone)
     return left.where("doc_id IS NOT NULL") if missing else left
 
 

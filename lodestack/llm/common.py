@@ -84,3 +84,21 @@ def n_words(text: Column) -> Column:
 def bounded_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     """A broadcast hint only where a count shows that df has at most most_rows rows; else the planner shuffles."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+#: Bits of the filter behind without(); its table has a row for 64 of them, so what is broadcast is bounded.
+FILTER_BITS = 1 << 24
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key isn't in ids(key); null keys stay. A bitmap over hashed ids lets most rows stay at once, so their
+    other columns aren't shuffled to meet the ids; only rows whose bit is set are joined exactly."""
+    place = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bits = ids.where(F.col(key).isNotNull()).select(place.cast("int").alias("_at")).selectExpr("shiftright(_at, 6) AS _word", "shiftleft(1L, _at & 63) AS _bits")
+    bits = stored(bits.groupBy("_word").agg(F.bit_or("_bits").alias("_bits")), "bits")
+    packed = rows.select(F.struct(*rows.columns).alias("_row"), F.when(F.col(key).isNotNull(), place).cast("int").alias("_at"))
+    marked = packed.withColumn("_word", F.expr("shiftright(_at, 6)")).join(F.broadcast(bits), "_word", "left")
+    maybe = F.coalesce(F.expr("(shiftrightunsigned(_bits, _at & 63) & 1) = 1"), F.lit(False))
+    sure = marked.where(~maybe).select("_row.*")
+    asked = marked.where(maybe).select("_row.*").join(ids.select(key).distinct(), key, "left_anti").select(*rows.columns)
+    return sure.union(asked)

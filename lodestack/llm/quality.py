@@ -192,8 +192,8 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, settings: Setti
 def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs(doc_id, text, ...), with all their columns, whose score reaches the threshold; each row is judged by
     its own text, so nulls, repeated ids and ties need no join. Learns as classify does."""
-    have = features(docs.join(labels.select("doc_id").where("quality IN (0, 1)").distinct(), "doc_id", "left_semi"))
-    model = learn(have, labels, folds, settings)
+    # The statistics are joined with the labels, not the texts, though that reads the texts once more.
+    model = learn(stored(features(docs), "features"), labels, folds, settings)
     place, text = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
