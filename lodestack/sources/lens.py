@@ -111,7 +111,8 @@ class Catalogue:
     @property
     def grants(self) -> DataFrame:
         """(user_id, purpose, granted_at, revoked_at): some users never grant, some revoke, some grant later."""
-        users = self.user_subjects.select("user_id").crossJoin(self.spark.createDataFrame([("analytics", 5), ("training", 4)], "purpose string, step int"))
+        kinds = F.array(*[F.struct(F.lit(p).alias("purpose"), F.lit(n).alias("step")) for p, n in (("analytics", 5), ("training", 4))])
+        users = self.user_subjects.select("user_id", F.inline(kinds))
         late = F.when(F.col("user_id") % 11 == 0, F.lit("2024-02-15")).otherwise(F.lit("2023-12-01"))
         revoked = F.when(F.col("user_id") % 7 == 0, F.lit("2024-01-10").cast("timestamp_ntz"))
         return users.where(F.col("user_id") % F.col("step") != 0).select("user_id", "purpose", late.cast("timestamp_ntz").alias("granted_at"), revoked.alias("revoked_at"))
