@@ -120,3 +120,21 @@ def test_empty_tables(spark):
 def test_log_gamma():
     x = np.concatenate([np.arange(0.5, 40, 0.5), [1e3 + 0.5, 1e9]])
     assert np.allclose(c._log_gamma(x), [math.lgamma(v) for v in x], rtol=1e-10, atol=1e-9)
+
+
+def test_rare_contexts_and_grams_count_as_all_others(spark, monkeypatch):
+    """More contexts of a depth than a table of 2^15 holds, all of them of one or two occurrences, and few costs on the spot."""
+    rows = [(i, "".join(chr(97 + x) for x in np.random.default_rng(i // 2).integers(0, 26, 6000)), "en", "a") for i in range(16)] + [(99, "never seen: ÄÖ 7", "en", "a")]
+    held = {i for i, *_ in rows if zlib.crc32(str(i).encode()) % 7 == 2}
+    train = [text_of(t.encode()) for i, t, *_ in rows if i not in held]
+    assert len({t[i : i + c.DEPTH] for t in train for i in range(len(t))}) > 1 << 15
+    code, n = c._grams(train)
+    tables = []
+    for d in range(c.DEPTH + 1):
+        k, at = np.unique(code & ((1 << 8 * (d + 1)) - 1), return_inverse=True)
+        tables.append((k, np.bincount(at, n, len(k)).astype(np.int64)))
+    whole = c.fit(tables).scores([text_of(t.encode()) for _, t, *_ in rows])
+    for most in (1 << 20, 50):
+        monkeypatch.setattr(c, "MOST_HOT", most)
+        got = {r["doc_id"]: r["score"] for r in c.score(table(spark, rows)).collect()}
+        assert [got[i] for i, *_ in rows] == pytest.approx(list(whole), rel=1e-4)
