@@ -21,8 +21,8 @@ from lodestack.llm.common import scratch_path, stored
 VERSION = b"WARC/1.1\r\n"
 GZIP = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
-#: A header block longer than this is damage.
-MOST_HEADER = 1 << 16
+#: Bytes that are read at first to find the end of a header block; more if it isn't among them.
+FIRST_LOOK = 1 << 16
 #: An archive is closed once it has so many compressed bytes.
 ROLL = 32 << 20
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
@@ -108,9 +108,12 @@ def _parse(data: bytes | bytearray, whole: bool) -> tuple[dict[str, str], bytes,
     """(headers, block, bytes used) of the record at the start of data; whole: data is all there is of it."""
     if not bytes(data[:7]).startswith(b"WARC/1."):
         raise Damage("no version line")
-    stop = data.find(b"\r\n\r\n", 0, MOST_HEADER)
+    stop = data.find(b"\r\n\r\n")
     if stop < 0:
-        raise Damage("no end of headers")
+        lines = bytes(data[: max(0, data.rfind(b"\r\n"))]).split(b"\r\n")[1:]
+        if whole or any(b":" not in line for line in lines):  # such as the next record's version line
+            raise Damage("no end of headers")
+        raise EOFError(2 * len(data))
     headers = {}
     for line in bytes(data[:stop]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -157,7 +160,7 @@ def _next(window: _Window) -> tuple[dict[str, str], bytes, int]:
         if size != len(content):
             raise Damage("more than a record in a member")
         return headers, block, used
-    want = MOST_HEADER
+    want = FIRST_LOOK
     while True:
         there = window.need(want)
         try:
@@ -279,10 +282,11 @@ def read_archives(manifest: DataFrame, root: str, payloads: bool = False) -> Dat
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes pages(page_id, url, html) as archives in the shared folder and reads every record back: page_id,
     payload_bytes, payload_digest, record_type, refers_to. See write_archives for nulls, ties and repeated rows; an
-    empty table gives no rows; other columns are ignored."""
+    empty table gives no rows; other columns are ignored. A record that can't be read back is an error."""
     root = scratch_path(pages.sparkSession, "warc")
     manifest = write_archives(pages.select("page_id", "url", "html"), root, least)
-    records = read_archives(manifest, root).where("record_type IS NOT NULL")
+    lost = F.raise_error(F.concat(F.lit("no record at byte "), F.col("offset"), F.lit(" of "), F.col("path"))).cast("boolean")
+    records = read_archives(manifest, root).where(F.when(F.col("record_type").isNotNull(), True).otherwise(lost))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

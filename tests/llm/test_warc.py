@@ -116,3 +116,17 @@ def test_gaps_of_damaged_archives_are_reported(spark):
 
 def test_digest_is_sha1_in_base32():
     assert w.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ" and len(hashlib.sha1(b"").digest()) == 20
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_headers_of_any_length(zipped):
+    raw = [w.record_bytes(i, "data:," + "x" * n, b"body", "response") for i, n in enumerate((10, 70_000, 3_000_000, 65_400))]
+    assert ids(w.salvage_bytes(b"".join(gzip.compress(r) if zipped else r for r in raw))) == [0, 1, 2, 3]
+    cut = raw[2][:2_000_000] + b"\r\n"
+    assert ids(w.salvage_bytes(cut + raw[0])) == [(0, len(cut)), 0]
+
+
+def test_round_trip_of_long_urls(spark):
+    rows = [(i, "http://x/?q=" + "ab" * 50_000 * (i % 3), f"body {i // 2}") for i in range(12)]
+    got = w.round_trip(pages(spark, rows)).collect()
+    assert sorted(str((str(x["page_id"]), x["payload_bytes"], x["payload_digest"], x["record_type"], x["refers_to"])) for x in got) == expected(rows)
