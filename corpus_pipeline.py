@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestack.llm import decontaminate, mixing, ngram_join, quality, sharding
 from lodestack.llm.common import read_table, small_batches, stored, without
@@ -14,25 +17,37 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.accepted(docs, read_table(spark, sf_dir, "labels"))
 
 
+def named(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs, each row without an id under an id of its own beyond all others, and what takes these ids away again."""
+    if not docs.where("doc_id IS NULL").take(1):
+        return docs, lambda rows: rows
+    free = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(max(free, 1)).cast("long") + F.monotonically_increasing_id())
+    given = stored(docs.withColumn("_given", F.col("doc_id").isNull()).withColumn("doc_id", own), "named")
+    kind = docs.schema["doc_id"].dataType
+    return given, lambda rows: rows.withColumn("doc_id", F.when(~F.col("_given"), F.col("doc_id")).cast(kind)).select(*docs.columns)
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of the n-gram join (five words, similarity 0.8), the row with the least doc_id; of rows that repeat
-    that id, one. Documents without words, and rows without an id, stay."""
+    that id, one. A row without an id is a document of its own, which comes after all that have one. Documents without words
+    stay."""
+    docs, back = named(docs)
     found = stored(ngram_join.join(docs, ngram_join.Settings(words=5, percent=80)).select("doc_id", "n_shingles", "component_id"), "components")
     left = without(docs, "doc_id", found.where("doc_id <> component_id").select("doc_id").distinct())
     twice = stored(found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if not twice.take(1):
-        return left
+        return back(left)
     again = left.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return left.join(twice, "doc_id", "left_anti").select(*docs.columns).union(again)
+    return back(left.join(twice, "doc_id", "left_anti").select(*docs.columns).union(again))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; a row without an id is judged by its own text."""
+    docs, back = named(docs)
     pairs = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
     gone = stored(pairs.select("doc_id").distinct(), "contaminated")
-    missing = gone.where("doc_id IS NULL").take(1)
-    left = without(docs, "doc_id", gone)
-    return left.where("doc_id IS NOT NULL") if missing else left
+    return back(without(docs, "doc_id", gone))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -47,3 +47,15 @@ def test_odd_rows_and_empty_tables(spark):
             out.count()
     one = p.keep_one_of_each(spark, table(spark, rows[:15]), SF)
     assert sorted(str(r["doc_id"]) for r in one.collect()).count("6") == 1 and "7" not in {str(r["doc_id"]) for r in one.collect()}
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    item = read_table(spark, SF, "benchmark").where("length(text) > 60").orderBy("item_id").first()["text"]
+    clean = [" ".join(f"plain{i}x{j}" for j in range(40)) for i in range(4)]
+    rows = [(None, t, "en", "a") for t in (*clean, clean[0], item, f"{clean[3]} {item}")] + [(7, clean[1], "en", "a"), (8, item, "en", "a")]
+    texts = lambda df: sorted((str(r["doc_id"]), r["text"]) for r in df.collect())
+    left = p.drop_benchmark(spark, table(spark, rows), SF)
+    assert texts(left) == sorted([("None", t) for t in (*clean, clean[0])] + [("7", clean[1])])
+    single = p.keep_one_of_each(spark, left, SF)
+    assert texts(single) == sorted([("None", clean[i]) for i in (0, 2, 3)] + [("7", clean[1])])
+    assert single.schema == left.schema
