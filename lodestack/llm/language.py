@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm.common import fold, stored
@@ -16,8 +16,8 @@ from lodestack.llm.common import fold, stored
 ORDER = 3
 #: Training text of a language: so many bytes at most, whole documents in the order of a hash.
 TRAIN_BYTES = 400_000
-#: Languages at most; the most frequent ones.
-MOST_LANGUAGES = 32
+#: Languages that are fitted, broadcast and scored at once; if there are more, the texts are read once for each so many.
+AT_ONCE = 8
 PAD = 32  # the byte before a text
 
 
@@ -122,17 +122,21 @@ def fit(texts: dict[str, list[bytes]]) -> Model:
     return Model(languages, symbol, w, state, cost)
 
 
-def training_texts(docs: DataFrame, folds: int, out_fold: int, train_bytes: int = TRAIN_BYTES) -> dict[str, list[bytes]]:
-    """At most train_bytes bytes of each language, from whole documents in the order of a hash of id and text; the last
-    one is cut. Only a bounded sample of rows is ordered: languages are counted first, and a hash threshold keeps about
-    enough of each."""
-    known = docs.where("text IS NOT NULL AND lang IS NOT NULL").where(fold("doc_id", folds) != out_fold)
-    sized = known.select("lang", F.octet_length("text").alias("n"))
-    stats = sized.groupBy("lang").agg(F.sum("n").alias("bytes"), F.count("*").alias("docs"))
-    stats = stats.orderBy(F.desc("docs"), "lang").limit(MOST_LANGUAGES).collect()
+def languages(docs: DataFrame, folds: int, out_fold: int) -> list[Row]:
+    """lang, bytes and docs of every language that can be learnt, by name."""
+    sized = _known(docs, folds, out_fold).select("lang", F.octet_length("text").alias("n"))
+    return sorted(sized.groupBy("lang").agg(F.sum("n").alias("bytes"), F.count("*").alias("docs")).collect(), key=lambda r: r["lang"])
+
+
+def _known(docs: DataFrame, folds: int, out_fold: int) -> DataFrame:
+    return docs.where("text IS NOT NULL AND lang IS NOT NULL").where(fold("doc_id", folds) != out_fold)
+
+
+def training_texts(docs: DataFrame, stats: list[Row], folds: int, out_fold: int, train_bytes: int = TRAIN_BYTES) -> dict[str, list[bytes]]:
+    """At most train_bytes bytes of each language of stats, from whole documents in the order of a hash of id and text; the
+    last one is cut. Only a bounded sample of rows is ordered: a hash threshold keeps about enough of each language."""
+    known = _known(docs, folds, out_fold)
     out: dict[str, list[bytes]] = {}
-    if not stats:
-        return out
     # Enough rows for the bytes wanted with a margin, in expectation; the hash is uniform over texts.
     share = {r["lang"]: min(1.0, 2.0 * (train_bytes + 20 * r["bytes"] / r["docs"]) / max(1, r["bytes"])) for r in stats}
     limit = F.element_at(F.create_map(*[F.lit(x) for r in stats for x in (r["lang"], share[r["lang"]])]), F.col("lang"))
@@ -151,36 +155,58 @@ def identify(docs: DataFrame, folds: int = 3, out_fold: int = 1, train_bytes: in
     """doc_id, held_out, lang_pred, score and bits_per_byte for every row of docs(doc_id, text, lang).
 
     Learns from documents with text and lang whose crc32(doc_id as text) modulo folds is not out_fold, at most train_bytes
-    bytes of each language. Every byte of a text is scored under every language; the shortest code wins, ties by name.
+    bytes of each of all languages. Every byte of a text is scored under every language; the shortest code wins, ties by name.
     score is the probability of the winner if each byte counted by its share: the softmax of minus the code lengths per
     byte times at most 64 bytes. `und` with score 0 for a null text or one without a letter, and for all texts if nothing was
     learnt. Null ids are as the empty text for the fold; a null lang is only not learnt from; equal texts get equal
     answers; other columns are ignored."""
-    model = fit(texts) if (texts := training_texts(docs, folds, out_fold, train_bytes)) else None
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    stats = languages(docs, folds, out_fold)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
+    found = found.select("*", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("odds"), F.lit(0.0).alias("bits_per_byte"))
+    if not stats:
+        found = found.select("doc_id", "lang_pred", F.lit(0.0).alias("score"), "bits_per_byte")
+    for at in range(0, len(stats), AT_ONCE):
+        texts = training_texts(docs, stats[at : at + AT_ONCE], folds, out_fold, train_bytes)
+        found = _scored(found, fit(texts), kind, at + AT_ONCE >= len(stats))
+    found = stored(found, "languages")
+    return found.select("doc_id", (fold("doc_id", folds) == out_fold).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
+def _scored(rows: DataFrame, model: Model, kind: str, last: bool) -> DataFrame:
+    """rows(doc_id, text, letter, lang_pred, odds, bits_per_byte) after the model's languages, whose names come after those
+    before: the best so far, its bits per byte, and the sum of all odds against it. The last one gives the scores instead."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             letters = batch.column(2).to_pylist()
-            n = len(texts)
-            pred, score, rate = ["und"] * n, np.zeros(n), np.zeros(n)
-            if model is not None and n:
+            pred, odds, rate = (batch.column(c).to_pylist() for c in (3, 4, 5))
+            if texts:
                 low = [(t or b"").lower() for t in texts]
                 bits = model.lengths(low)
                 size = np.maximum(1, [len(t) for t in low])
                 best = bits.argmin(1)
                 per = bits / size[:, None]
-                odds = np.exp2(-(per - per.min(1, keepdims=True)) * np.minimum(size, 64)[:, None])
-                chance = 1 / odds.sum(1)
-                for i in range(n):
+                weight = np.minimum(size, 64)
+                sums = np.exp2(-(per - per.min(1, keepdims=True)) * weight[:, None]).sum(1)
+                for i in range(len(texts)):
                     if letters[i]:
-                        pred[i], score[i], rate[i] = model.languages[best[i]], chance[i], per[i, best[i]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(rate)], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter"))
-    found = rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
-    found = stored(found, "languages")
-    return found.select("doc_id", (fold("doc_id", folds) == out_fold).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+                        mine = per[i, best[i]]
+                        if not odds[i]:
+                            pred[i], odds[i], rate[i] = model.languages[best[i]], sums[i], mine
+                        elif mine < rate[i]:
+                            pred[i], odds[i], rate[i] = model.languages[best[i]], sums[i] + odds[i] * np.exp2((mine - rate[i]) * weight[i]), mine
+                        else:
+                            odds[i] += sums[i] * np.exp2((rate[i] - mine) * weight[i])
+            if last:
+                score = [1 / x if x else 0.0 for x in odds]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rate, pa.float64())], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+            else:
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(pred, pa.string()), pa.array(odds, pa.float64()), pa.array(rate, pa.float64())], names=batch.schema.names)
+
+    if last:
+        return rows.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, bits_per_byte double")
+    return stored(rows.mapInArrow(run, f"doc_id {kind}, text binary, letter boolean, lang_pred string, odds double, bits_per_byte double"), "scored")

@@ -72,3 +72,16 @@ def test_odd_rows_and_empty_tables(spark):
     assert l.identify(table(spark, [])).count() == 0
     none = l.identify(table(spark, [(1, "some text", None, "a")])).first()
     assert none["lang_pred"] == "und" and none["score"] == 0
+
+
+def test_every_language_of_many_is_learnt(spark):
+    names = [f"l{k:02d}" for k in range(36)]
+    part = lambda k, s: " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" * 2 for x in random.Random(f"{k} {s}").choices("xyz", k=30))
+    rows = [(100 * k + s, part(k, s), g, "a") for k, g in enumerate(names) for s in range(5)]
+    got = {r["doc_id"]: r for r in l.identify(table(spark, rows)).collect()}
+    assert all(got[i]["lang_pred"] == g for i, _, g, _ in rows)
+    train = {g: [t.encode() for i, t, x, _ in rows if x == g and zlib.crc32(str(i).encode()) % 3 != 1] for g in names}
+    model = l.fit(train)
+    for i, t, _, _ in rows[::9]:
+        per = model.lengths([t.encode()])[0] / len(t)
+        assert got[i]["score"] == pytest.approx(1 / sum(2 ** (-(x - per.min()) * min(64, len(t))) for x in per), rel=1e-3)
