@@ -179,7 +179,7 @@ def atlas_members(spark, sf):
 def atlas_ranks(spark, sf):
     """Ranks in a ring by name; the exact ring is that of atlas_layout."""
     c = Catalogue(spark, sf)
-    names = sorted(r[0] for r in _shares(c).select("genre").distinct().limit(atlas.MOST_GENRES).collect())
+    names = sorted(r[0] for r in _shares(c).select("genre").distinct().collect())
     return atlas.ranked(_parents(c), _shares(c), style_emergence(spark, sf), atlas.ring_table(spark, names))
 
 
