@@ -55,7 +55,7 @@ class Jobs:
             before = [atlas.Sector(r["genre"], r["ring_order"], r["sector_start"], r["sector_end"]) for r in rows]
         shares = catalogue.style_genre_shares(self.c.in_style, self.c.in_genre)
         years = catalogue.style_year_counts(self.c.releases, self.c.in_style, self.c.derived_from)
-        grid = lifecycle.dense(years.select("style", F.col("year").alias("period"), F.col("release_count").alias("n")), lifecycle.last_complete_year(month))
+        grid = lifecycle.dense(years.select("style", F.col("year").alias("period"), F.col("release_count").alias("n")), month.year - 1)
         sectors, nodes, _ = atlas.layout(catalogue.style_parents(shares), shares, lifecycle.emergence(lifecycle.stages(grid)), before)
         dated = lambda df: df.withColumn("month", F.lit(month))
         if not self.store.folder.create(f"once/atlas-{month}", "taken"):
