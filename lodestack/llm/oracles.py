@@ -3,25 +3,35 @@
 from __future__ import annotations
 
 OP4 = r"""
-WITH RECURSIVE base AS (
+WITH base AS (
   SELECT doc_id, source, coalesce('s' || source, 'n') AS key,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || 'mix'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null' || coalesce(text, '')) || 'mix'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents),
+sized AS (SELECT *, length(bin(size))::BIGINT AS digits FROM base),
 src AS (SELECT key, source, sum(size)::BIGINT AS source_size FROM base GROUP BY key, source),
 weighted AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM src),
 capped AS (SELECT *, 3 * source_size AS cap, (3 * source_size)::DOUBLE / w AS edge FROM weighted),
 run AS (SELECT *, coalesce(sum(cap) OVER b, 0) AS spent, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS remaining, sum(source_size) OVER () AS total
         FROM capped WINDOW b AS (ORDER BY edge, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 level AS (SELECT coalesce((SELECT (total - spent)::DOUBLE / remaining FROM run WHERE (total - spent)::DOUBLE / remaining <= edge ORDER BY edge, source LIMIT 1), 0) AS t),
-plan AS (SELECT key, source_size, least(cap::DOUBLE, w * t) AS target,
-                CASE WHEN source_size > 0 THEN least(cap::DOUBLE, w * t) / source_size ELSE 0 END AS ratio FROM capped, level),
-due AS (SELECT *, floor(ratio) AS whole, ratio - floor(ratio) AS p, target - floor(ratio) * source_size AS due FROM plan),
-ranked AS (SELECT b.doc_id, b.size, d.source_size, d.target, d.whole, d.p, d.due,
-                  sum(b.size) OVER (PARTITION BY b.key ORDER BY b.u, b.doc_id, b.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-           FROM base b JOIN due d USING (key)),
-picked AS (SELECT *, (whole + CASE WHEN p > 0 AND upto - size / 2.0 <= due THEN 1 ELSE 0 END)::BIGINT AS copies FROM ranked)
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM picked
+goal AS (SELECT key, source_size, least(cap::DOUBLE, w * t) AS target FROM capped, level),
+kinds AS (SELECT key, digits, sum(size)::BIGINT AS words FROM sized GROUP BY key, digits),
+kcap AS (SELECT k.*, g.source_size, g.target, k.words * k.digits AS w, 3 * k.words AS cap,
+                CASE WHEN k.words > 0 THEN (3 * k.words)::DOUBLE / (k.words * k.digits) ELSE 0 END AS edge FROM kinds k JOIN goal g USING (key)),
+krun AS (SELECT *, coalesce(sum(cap) OVER b, 0) AS spent, sum(w) OVER (PARTITION BY key) - coalesce(sum(w) OVER b, 0) AS remaining
+         FROM kcap WINDOW b AS (PARTITION BY key ORDER BY edge, digits ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ktry AS (SELECT *, CASE WHEN remaining > 0 THEN (target - spent) / remaining END AS t FROM krun),
+kt AS (SELECT key, arg_min(t, (edge, digits)) AS t FROM ktry WHERE t <= edge GROUP BY key),
+expected AS (SELECT k.key, k.digits, k.words, k.source_size, k.target,
+                    CASE WHEN k.source_size = 0 THEN 0.0::DOUBLE ELSE least(3.0::DOUBLE, coalesce(kt.t * k.digits, 3.0::DOUBLE)) END AS e
+             FROM kcap k LEFT JOIN kt USING (key)),
+plan AS (SELECT *, floor(e) AS whole, e - floor(e) AS p, target - sum(floor(e) * words) OVER (PARTITION BY key) AS due FROM expected),
+odds AS (SELECT s.doc_id, s.key, s.size, q.source_size, q.target, q.whole, q.p, q.due,
+                CASE WHEN q.p > 0 THEN s.u / (1 - s.u) / (q.p / (1 - q.p)) END AS odds FROM sized s JOIN plan q USING (key, digits)),
+ranked AS (SELECT *, sum(size) OVER (PARTITION BY key ORDER BY odds NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM odds),
+picked AS (SELECT *, (whole + CASE WHEN odds IS NOT NULL AND upto - size / 2.0 <= due THEN 1 ELSE 0 END)::BIGINT AS copies FROM ranked)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies, p FROM picked
 """
 
 OP2 = r"""

@@ -46,10 +46,54 @@ def test_takes_come_near_targets_and_repeat(spark):
     assert mixing.mixed(clash).columns == clash.columns and mixing.mixed(clash).where("_size <> 7 OR copies <> 'copies' OR target <> 'target'").count() == 0
 
 
-def test_inclusion_is_even_within_a_source(spark):
-    docs = table(spark, [(i, "a b", "en", "x" if i < 1000 else "y" if i < 4000 else "z") for i in range(6000)])
-    got = mixing.mix(docs).withColumn("h", F.col("doc_id") % 2).where("doc_id >= 1000 AND doc_id < 4000").groupBy("h").agg(F.avg("copies").alias("m")).collect()
-    assert abs(got[0]["m"] - got[1]["m"]) < 0.05
+def levels_by_halving(words, target, most=3):
+    """Expected copies by number of digits: the level by halving an interval."""
+    taken = lambda t: sum(min(most, t * d) * n for d, n in words.items())
+    lo, hi = 0.0, float(most)
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if taken(mid) < target else (lo, mid)
+    return {d: min(float(most), hi * d) for d in words}
+
+
+def ranked_by_hand(spark, docs, odds=True):
+    """{doc_id: copies} by a plain Pareto sample of each source, with the odds or, for comparison, without them."""
+    rows = [r.asDict() for r in mixing._placed(docs, "mix").select("doc_id", "_key", "_size", "_digits", "_u").collect()]
+    target = {r["doc_id"]: r["target"] for r in mixing.mix(docs).collect()}
+    out = {}
+    for key in {r["_key"] for r in rows}:
+        mine = [r for r in rows if r["_key"] == key]
+        words = {}
+        for r in mine:
+            words[r["_digits"]] = words.get(r["_digits"], 0) + r["_size"]
+        want = levels_by_halving(words, target[mine[0]["doc_id"]])
+        for r in mine:
+            r["whole"], r["p"] = divmod(round(want[r["_digits"]], 9), 1)
+        due = target[mine[0]["doc_id"]] - sum(r["whole"] * r["_size"] for r in mine)
+        rank = lambda r: r["_u"] / (1 - r["_u"]) / (r["p"] / (1 - r["p"]) if odds else 1)
+        for r in sorted((r for r in mine if r["p"] > 1e-8), key=rank):
+            r["whole"] += r["_size"] / 2 <= due
+            due -= r["_size"]
+        out |= {r["doc_id"]: int(r["whole"]) for r in mine}
+    return out
+
+
+def mixture(spark):
+    return table(spark, [(i, words(1 + (i * 37) % 61 * (1 + i % 5), i), "en", f"s{i % 3 if i % 4 else 0}") for i in range(900)], 5)
+
+
+@pytest.mark.parametrize("cells", [1 << 16, 8, 1])
+def test_the_mix_is_a_pareto_sample(spark, monkeypatch, cells):
+    monkeypatch.setattr(mixing, "CELLS", cells)
+    docs = mixture(spark)
+    got = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
+    assert got == ranked_by_hand(spark, docs)
+    assert got != ranked_by_hand(spark, docs, odds=False)  # the inclusion odds decide
+
+
+def test_longer_documents_are_included_more_often(spark):
+    rows = mixing.mix(mixture(spark)).where("p > 0").groupBy("source_size").agg(F.corr("size", F.col("copies")).alias("c"), F.countDistinct("p").alias("kinds")).collect()
+    assert rows and all(r["kinds"] > 3 and r["c"] > 0 for r in rows)
 
 
 def test_odd_rows_and_empty_tables(spark):
