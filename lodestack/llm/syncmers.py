@@ -9,10 +9,11 @@ from lodestack.llm.common import BLANKS, UPPER, stored
 
 #: Words of a k-mer, and of the substrings inside it.
 K, S = 5, 2
-#: A fingerprint is written out as its anchors of the smallest hashes, at most so many, in order.
-WRITTEN = 64
 #: Documents that are ordered together when each needs the one after it.
 NEIGHBOURS = 1024
+#: Quantiles of the ids that are looked at to cut them into ranges.
+QUANTILES = 1024
+LEAST = -(1 << 63)
 
 
 def _words(text: Column) -> Column:
@@ -26,8 +27,8 @@ def with_syncmers(df: DataFrame, text: str, out: str) -> DataFrame:
 
     The k-mer of words at a place is one if, of the S-word substrings inside it, the first or the last has the least
     hash; ties with an inner one count for the edge. Whether a k-mer is chosen depends on its K words alone, so equal passages
-    have equal anchors whatever surrounds them. A text of fewer than K words has one anchor, its whole sequence, at 0; one
-    without words has none."""
+    have equal anchors whatever surrounds them. A text without a k-mer that is chosen, such as any of fewer than K words, has
+    one anchor, its whole sequence, at 0; only a text without words has none."""
     w, h = f"_{out}_words", f"_{out}_inner"
     df = df.withColumn(w, _words(F.coalesce(F.col(text), F.lit(""))))
     n = F.size(w)
@@ -38,60 +39,106 @@ def with_syncmers(df: DataFrame, text: str, out: str) -> DataFrame:
     middle = lambda i: F.least(*[at(i + j) for j in range(1, span)])
     places = F.filter(F.sequence(F.lit(0), F.size(h) - span - 1), lambda i: F.least(at(i), at(i + span)) <= middle(i))
     many = F.transform(places, lambda i: F.struct(i.alias("at"), F.xxhash64(at(i), at(i + 2), at(i + span)).alias("hash")))
-    few = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.concat_ws(" ", w)).alias("hash")))
+    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(F.concat_ws(" ", w)).alias("hash")))
     none = F.array().cast("array<struct<at:int,hash:bigint>>")
-    return df.withColumn(out, F.when(n >= K, many).when(n > 0, few).otherwise(none)).drop(w, h)
-
-
-def anchor_set(syncmers: Column) -> Column:
-    return F.array_distinct(F.transform(syncmers, lambda x: x["hash"]))
+    df = df.withColumn(out, F.when(n >= K, many).otherwise(none))
+    return df.withColumn(out, F.when((F.size(out) > 0) | (n == 0), F.col(out)).otherwise(whole)).drop(w, h)
+
+
+def steps(anchors: str) -> Column:
+    """What two fingerprints are matched by: each anchor with the next one and the words between the two, as a hash; a lone anchor
+    stands for itself. So an anchor counts only where it lies in the same place relative to its neighbour, and a passage that
+    was moved still matches."""
+    a = F.col(anchors)
+    pairs = F.transform(
+        F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))),
+        lambda x, i: F.xxhash64(F.get(a, i)["hash"], x["at"] - F.get(a, i)["at"], x["hash"]),
+    )
+    return F.array_distinct(F.when(F.size(a) == 1, F.transform(a, lambda x: x["hash"])).otherwise(pairs))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of two anchor sets; 1 if both are empty."""
+    """Jaccard similarity of two fingerprints' steps; 1 if both are empty."""
     both = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def written(anchors: Column) -> Column:
-    """A fingerprint as text: the number of distinct anchors, then up to WRITTEN of the least hashes in hexadecimal."""
-    least = F.transform(F.slice(F.array_sort(anchors), 1, WRITTEN), lambda x: F.lpad(F.lower(F.hex(x)), 16, "0"))
-    return F.concat_ws(":", F.size(anchors).cast("string"), F.array_join(least, ""))
-
-
-def with_next(docs: DataFrame, group: int = NEIGHBOURS) -> DataFrame:
-    """docs(doc_id, text) with next_text, the text of the next row by doc_id (after the last: the first).
-
-    Ids are cut into ranges of about `group` rows: 1024 quantiles, each cut evenly. The texts are dealt by range once and
-    ordered inside; only the first row of each range is carried to the range before, so no task orders the whole table.
-    Rows of one id are ordered by text and nulls come first."""
-    spark = docs.sparkSession
-    ids = docs.agg(F.count("*").alias("n"), F.percentile_approx("doc_id", [i / 1024 for i in range(1025)], 20_000).alias("q")).first()
-    cuts = sorted(set(ids["q"] or [0]))
-    fine = max(1, ids["n"] // (group * max(1, len(cuts))))
-    # Which of 32 coarse runs of cuts, then which cut in it.
+    """A fingerprint as text, with every anchor: place, colon, hash in hexadecimal; blanks between anchors."""
+    return F.array_join(F.transform(anchors, lambda x: F.concat_ws(":", x["at"].cast("string"), F.hex(x["hash"]))), " ")
+
+
+def _cuts(rows: DataFrame) -> list[tuple[int, int, int]]:
+    """Lower edges, in (id, mix, salt), of ranges of about a QUANTILES-th of the rows each. An id that several quantiles name is
+    cut by the hashes of its texts, and a text that several quantiles of these name by salt; what is collected is bounded."""
+    ids = rows.agg(F.percentile_approx("id", [i / QUANTILES for i in range(QUANTILES + 1)], 20_000).alias("q"), F.min(F.when(F.col("id") > LEAST, F.col("id"))).alias("least")).first()
+    ids, least = ids["q"] or [LEAST], ids["least"]
+    often = {i: ids.count(i) for i in set(ids)}
+    hot = [i for i, n in often.items() if n > 2]
+    out = {(i, LEAST, LEAST) for i in often} | ({(least, LEAST, LEAST)} if least is not None else set())
+    if hot:
+        inside = rows.where(F.col("id").isin(hot)).groupBy("id").agg(F.percentile_approx("mix", [i / 64 for i in range(65)], 2000).alias("q"))
+        for r in inside.collect():
+            places = sorted(r["q"])[:: max(1, 64 // often[r["id"]])]
+            for m in set(places):
+                parts = places.count(m) if places.count(m) > 1 else 0
+                out |= {(r["id"], m, LEAST)} | {(r["id"], m, LEAST + (j << 64) // parts) for j in range(1, parts)}
+    return sorted(out)
+
+
+def with_slot(docs: DataFrame, group: int = NEIGHBOURS) -> DataFrame:
+    """docs(doc_id, text) with id, mix, salt, by which they are ordered, and slot, the number of their range in that order.
+
+    Ids come in ascending order, null first; rows of one id in the order of a hash of their texts. Only rows equal in both, whose
+    order makes no difference, are ordered by salt. So neither an id nor a text of a third of all rows makes one range."""
+    # A salt is a hash of the row's number, which no result shows.
+    # 52 bits of a hash, since quantiles are found among doubles.
+    order = {"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)), "mix": F.shiftright(F.xxhash64("text"), 12), "salt": F.xxhash64(F.monotonically_increasing_id())}
+    rows = docs.select("doc_id", "text").withColumns(order)
+    n = docs.count()
+    cuts = _cuts(rows.select("id", "mix", "salt"))
+    fine = max(1, n // (group * max(1, len(cuts))))
+    key = F.struct("id", "mix", "salt")
+    # Which of the coarse runs of cuts, then which cut in it.
     runs = [cuts[i : i + 32] for i in range(0, len(cuts), 32)]
-    known = F.coalesce(F.col("doc_id"), F.lit(cuts[0]))
-    lows = F.array(*[F.lit(r[0]) for r in runs])
-    run = F.greatest(F.size(F.filter(lows, lambda x: x <= known)) - 1, F.lit(0))
-    inside = F.get(F.array(*[F.array(*[F.lit(x) for x in r]) for r in runs]), run)
-    slot = run * 32 + F.greatest(F.size(F.filter(inside, lambda x: x <= known)) - 1, F.lit(0))
+    cut = lambda x: F.struct(*[F.lit(v).cast("long").alias(n) for v, n in zip(x, ("id", "mix", "salt"), strict=True)])
+    found = lambda edges: F.greatest(F.size(F.filter(edges, lambda x: x <= key)) - 1, F.lit(0))
+    rows = rows.withColumn("run", found(F.array(*[cut(r[0]) for r in runs])))
+    slot = F.col("run") * 32 + found(F.get(F.array(*[F.array(*[cut(x) for x in r]) for r in runs]), F.col("run")))
     if fine > 1:
-        low, high = F.get(F.lit(cuts), slot), F.coalesce(F.get(F.lit(cuts), slot + 1), F.lit(cuts[-1] + 1))
-        part = F.floor((known - low).cast("double") / F.greatest(high - low, F.lit(1)) * fine)
-        slot = slot * fine + F.least(F.greatest(part, F.lit(0)), F.lit(fine - 1))
-    placed = docs.select("doc_id", "text").withColumn("slot", slot.cast("long"))
-    heads = placed.groupBy("slot").agg(F.min(F.struct("doc_id", "text")).alias("head"))
-    heads = stored(heads, "heads")
+        # Each range evenly in the first column in which its ends differ.
+        ends = [*cuts, (cuts[-1][0] + 1, LEAST, LEAST)]
+        at = [next(j for j in range(3) if a[j] != b[j] or j == 2) for a, b in zip(ends, ends[1:], strict=False)]
+        low = [float(a[j]) for a, j in zip(ends, at, strict=False)]
+        wide = [float(b[j] if b[j] > a[j] else 1 << 63) - a[j] for a, b, j in zip(ends, ends[1:], at, strict=False)]
+        table = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(x).alias("low"), F.lit(w).alias("wide")) for j, x, w in zip(at, low, wide, strict=True)])
+        rows = rows.withColumn("slot", slot).withColumn("edge", F.get(table, F.col("slot")))
+        value = F.get(F.array(*[F.col(c).cast("double") for c in ("id", "mix", "salt")]), F.col("edge.j"))
+        part = F.floor((value - F.col("edge.low")) / F.col("edge.wide") * fine)
+        slot = F.col("slot") * fine + F.least(F.greatest(part, F.lit(0)), F.lit(fine - 1))
+    return rows.withColumn("slot", slot.cast("long")).drop("run", "edge")
+
+
+def with_next(docs: DataFrame, add, carried: list[str], group: int = NEIGHBOURS) -> DataFrame:
+    """docs(doc_id, text) with what add(rows) makes of each text, and, of the next row by doc_id (after the last: the first), the
+    columns carried, as next_<name>.
+
+    The texts are dealt by slot once, made into anchors there, and ordered inside; only the first row of each range is carried to
+    the range before, so no task orders the whole table."""
+    placed = with_slot(docs, group)
+    heads = stored(placed.groupBy("slot").agg(F.min(F.struct("id", "mix", "salt", "text")).alias("head")), "heads")
     # A row of a slot's number for each range, ordered as one: a thousandth of the rows, without texts.
-    order = Window.orderBy("slot")
-    pairs = heads.select("slot").withColumn("before", F.lag("slot").over(order))
+    pairs = heads.select("slot").withColumn("before", F.lag("slot").over(Window.orderBy("slot")))
     last = heads.agg(F.max("slot")).first()[0]
     pairs = pairs.withColumn("before", F.coalesce("before", F.lit(last)))
-    carried = pairs.join(heads, "slot").select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("head.text").alias("text"), F.col("before").alias("slot"))
-    both = placed.withColumn("end", F.lit(0)).union(carried.withColumn("end", F.lit(1)))
-    inside = Window.partitionBy("slot").orderBy("end", "doc_id", "text")
-    return both.withColumn("next_text", F.lead("text").over(inside)).where("end = 0").select("doc_id", "text", "next_text")
+    kind = docs.schema["doc_id"].dataType
+    ends = pairs.join(heads, "slot").select(
+        F.lit(None).cast(kind).alias("doc_id"), F.col("head.text").alias("text"), *[F.col(f"head.{c}").alias(c) for c in ("id", "mix", "salt")], F.col("before").alias("slot"), F.lit(1).alias("end")
+    )
+    rows = placed.select(*ends.columns[:-1], F.lit(0).alias("end")).union(ends).repartition("slot")
+    inside = Window.partitionBy("slot").orderBy("end", "id", "mix", "salt")
+    out = add(rows).withColumns({f"next_{c}": F.lead(c).over(inside) for c in carried})
+    return out.where("end = 0").drop("end", "id", "mix", "salt", "slot")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -99,29 +146,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     near_next, and n_anchors.
 
     The edited text is the text with its last floor(n/2) code points replaced by the first as many (or all) of the next
-    document by ascending id, after the last the first. near_* are Jaccard similarities of the complete sets of anchors.
+    document by ascending id, after the last the first. A fingerprint lists every anchor with its place in words; near_* is the
+    Jaccard similarity of two fingerprints' steps, from each anchor to the next, and can be had from the written ones.
 
-    A null text counts as empty: no anchors, fingerprint "0:", likeness 1 to another empty one and 0 to the rest. Rows of
-    one id follow each other in the order of their texts, repeated rows in any; a null id comes first. A single row is its own
-    next document; an empty table gives no rows. Other columns are ignored; very long texts are handled whole, in time linear
-    in their length."""
+    A null text counts as empty: no anchors, an empty fingerprint, likeness 1 to another empty one and 0 to the rest. Rows of
+    one id follow each other in the order of a hash of their texts, repeated rows in any; a null id comes first. A single row is
+    its own next document; an empty table gives no rows. Other columns are ignored; very long texts are handled whole, in time
+    linear in their length."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    near = with_next(docs.select("doc_id", text.alias("text")))
+
+    def add(rows: DataFrame) -> DataFrame:
+        return with_syncmers(rows, "text", "anchors").withColumn("steps", steps("anchors"))
+
+    near = with_next(docs.select("doc_id", text.alias("text")), add, ["text", "steps"])
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    rows = near.select("doc_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_text")
+    rows = near.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "anchors", "steps", "next_steps")
     rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
-    for column in ("text", "edited", "next_text"):
-        rows = with_syncmers(rows, column, f"{column}_marks")
-        rows = rows.withColumn(f"{column}_set", anchor_set(F.col(f"{column}_marks"))).drop(f"{column}_marks", column)
+    rows = with_syncmers(rows, "edited", "edited_anchors").drop("edited").withColumn("edited_steps", steps("edited_anchors"))
     return rows.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        written(F.col("text_set")).alias("fingerprint"),
-        written(F.col("edited_set")).alias("edited_fingerprint"),
-        likeness(F.col("text_set"), F.col("edited_set")).alias("near_edited"),
-        likeness(F.col("text_set"), F.col("next_text_set")).alias("near_next"),
-        F.size("text_set").cast("long").alias("n_anchors"),
+        written(F.col("anchors")).alias("fingerprint"),
+        written(F.col("edited_anchors")).alias("edited_fingerprint"),
+        likeness(F.col("steps"), F.col("edited_steps")).alias("near_edited"),
+        likeness(F.col("steps"), F.col("next_steps")).alias("near_next"),
+        F.size("anchors").cast("long").alias("n_anchors"),
     )

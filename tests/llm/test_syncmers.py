@@ -20,36 +20,44 @@ def h(*values):
 
 def slow(text):
     w = (text or "").encode().lower().split()
-    if len(w) < y.K:
-        return [(0, h(b" ".join(w)))] if w else []
     inner = [h(*w[i : i + y.S]) for i in range(len(w) - y.S + 1)]
     span, out = y.K - y.S, []
     for i in range(len(w) - y.K + 1):
         part = inner[i : i + span + 1]
         if min(part) in (part[0], part[-1]):
             out.append((i, h(inner[i], inner[i + 2], inner[i + span])))
-    return out
+    return out or ([(0, h(b" ".join(w)))] if w else [])
 
 
 def like(a, b):
-    a, b = ({x for _, x in s} for s in (a, b))
+    """Of two lists of (place, hash)."""
+    a, b = ({(p[1], q[0] - p[0], q[1]) for p, q in zip(s, s[1:], strict=False)} or {x for _, x in s} for s in (a, b))
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def read(fingerprint):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [(int(at), signed(int(x, 16))) for at, _, x in (part.partition(":") for part in fingerprint.split())]
+
+
+def ordered(rows):
+    return sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h((r[1] or "").encode())))
+
+
 def expected(rows):
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    order = ordered(rows)
     out = []
     for k, (i, t, *_) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
         half = len(t) // 2
         edited = t[: len(t) - half] + after[:half]
-        out.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), round(like(slow(t), slow(edited)), 9), round(like(slow(t), slow(after)), 9), len({x for _, x in slow(t)})))
+        out.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), round(like(slow(t), slow(edited)), 9), round(like(slow(t), slow(after)), 9), len(slow(t)), str(slow(t)), str(slow(edited))))
     return sorted(out)
 
 
 def got(spark, rows):
     found = y.fingerprints(table(spark, rows)).collect()
-    return sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9), r["n_anchors"]) for r in found)
+    return sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"], round(r["near_edited"], 9), round(r["near_next"], 9), r["n_anchors"], str(read(r["fingerprint"])), str(read(r["edited_fingerprint"]))) for r in found)
 
 
 def test_syncmers_match_the_definition(spark):
@@ -71,11 +79,36 @@ def test_anchors_do_not_depend_on_their_surroundings(spark):
 def test_fingerprints_match_brute_force(spark, group, monkeypatch):
     r = random.Random(3)
     rows = [(i, words(r.randrange(0, 80), i, 60), "en", "a") for i in r.sample(range(-5000, 10**6), 60)] + [(10**12, words(30, 1), "en", "a"), (10**12 + 1, words(30, 1), "en", "a")]
-    monkeypatch.setattr(y, "NEIGHBOURS", group)
     monkeypatch.setattr(y.with_next, "__defaults__", (group,))
     assert got(spark, rows) == expected(rows)
 
 
+def test_short_texts_have_a_fingerprint_of_their_own(spark):
+    rows = [(i, words(1 + i % 12, i, 9999), "en", "a") for i in range(240)]
+    found = got(spark, rows)
+    assert found == expected(rows)
+    assert all(f[5] > 0 for f in found) and len({f[6] for f in found}) == 240 and all(f[4] == 0 for f in found)
+
+
+def test_places_matter(spark):
+    """Anchors at other distances from each other don't match."""
+    a, b, c = (words(12, n, 9999) for n in (1, 2, 3))
+    one, two = slow(f"{a} {b}"), slow(f"{a} {c} {b}")
+    assert {x for _, x in slow(a)} | {x for _, x in slow(b)} <= {x for _, x in two} and 0 < like(one, two) < 1
+    near = {r["doc_id"]: r["near_next"] for r in y.fingerprints(table(spark, [(1, f"{a} {b}", "", ""), (2, f"{a} {c} {b}", "", "")])).collect()}
+    assert near[1] == pytest.approx(like(one, two))
+
+
+@pytest.mark.parametrize("group", [1024, 4])
+def test_hot_ids_and_texts_are_cut(spark, group, monkeypatch):
+    monkeypatch.setattr(y.with_next, "__defaults__", (group,))
+    monkeypatch.setattr(y, "QUANTILES", 32)
+    rows = [(None, words(3 + i % 7, i), "en", "a") for i in range(150)] + [(7, "the same words again and again", "en", "a")] * 150 + [(1000 + i, words(8, i), "en", "a") for i in range(150)]
+    assert got(spark, rows) == expected(rows)
+    slots = y.with_slot(table(spark, rows).select("doc_id", "text"), group).groupBy("slot").count().collect()
+    assert max(r["count"] for r in slots) < 60 and len(slots) > 12
+
+
 def test_odd_rows_and_empty_tables(spark):
     rows = odd(4000)
     assert got(spark, rows) == expected(rows)
@@ -83,10 +116,7 @@ def test_odd_rows_and_empty_tables(spark):
     assert got(spark, [(None, "x", "en", "a"), (None, None, "en", "a")]) == expected([(None, "x", 0, 0), (None, None, 0, 0)])
 
 
-def test_written_fingerprints(spark):
-    rows = [(1, words(200, 1), "en", "a"), (2, words(200, 1), "en", "a"), (3, "", "en", "a")]
-    out = {r["doc_id"]: r["fingerprint"] for r in y.fingerprints(table(spark, rows)).collect()}
-    assert out[1] == out[2] and out[3] == "0:" and out[1].startswith(f"{len({x for _, x in slow(rows[0][1])})}:")
+def test_every_row_has_the_next_one(spark):
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id")).alias("text"))
-    near = y.with_next(many, 16)
+    near = y.with_next(many, lambda rows: rows, ["text"], 16)
     assert near.where("next_text = concat('w', (doc_id + 1) % 3000)").count() == 3000
