@@ -66,20 +66,33 @@ class Found:
     payload: bytes = field(default=b"", repr=False)
 
 
+class Damage(Exception):
+    pass
+
+
 class _Window:
-    """The bytes of a stream from an offset on, read in chunks; only what is asked for stays in memory."""
+    """The bytes of a seekable stream from an offset on, read in chunks; only what is asked for stays in memory."""
 
     def __init__(self, stream):
-        self.stream, self.buf, self.at, self.over = stream, bytearray(), 0, False
+        self.stream, self.buf, self.at = stream, bytearray(), 0
+        self.size = stream.seek(0, 2)
 
     def need(self, n: int) -> int:
         """Tries to hold n bytes; how many there are."""
-        while len(self.buf) < n and not self.over:
-            got = self.stream.read(max(CHUNK, n - len(self.buf)))
-            self.over = not got
-            self.buf += got or b""
+        n = min(n, self.size - self.at)
+        if len(self.buf) < n:
+            self.stream.seek(self.at + len(self.buf))
+            while len(self.buf) < n:
+                self.buf += self.stream.read(max(min(CHUNK, self.size - self.at - len(self.buf)), n - len(self.buf)))
         return len(self.buf)
 
+    def peek(self, place: int, n: int) -> bytes:
+        """n bytes at a place behind the offset, which aren't kept."""
+        if place + n <= len(self.buf):
+            return bytes(self.buf[place : place + n])
+        self.stream.seek(self.at + place)
+        return self.stream.read(n)
+
     def drop(self, n: int) -> None:
         del self.buf[:n]
         self.at += n
@@ -93,19 +106,29 @@ class _Window:
             if places:
                 self.drop(min(places))
                 return self.at
-            if self.over:
+            if self.at + len(self.buf) >= self.size:
                 self.drop(len(self.buf))
                 return None
             self.drop(max(0, len(self.buf) - keep))
             start = 0
 
 
-class Damage(Exception):
-    pass
+#: Headers that hold a number or nothing.
+NUMBERS = ("x-page-id", "x-refers-to-page-id", "x-payload-length", "content-length")
+
 
+def _number(value: str) -> int | None:
+    """A 64-bit number, or None for no text."""
+    if not value:
+        return None
+    if len(value) > 20 or not value.isascii() or not value.removeprefix("-").isdigit() or not -(1 << 63) <= int(value) < 1 << 63:
+        raise Damage("not a number")
+    return int(value)
 
-def _parse(data: bytes | bytearray, whole: bool) -> tuple[dict[str, str], bytes, int]:
-    """(headers, block, bytes used) of the record at the start of data; whole: data is all there is of it."""
+
+def _headers(data: bytes | bytearray, whole: bool) -> tuple[dict[str, str], int, int] | None:
+    """(headers, where the block starts, its length) of the record at the start of data; None if more data is needed, unless
+    that is whole, all there is of it."""
     if not bytes(data[:7]).startswith(b"WARC/1."):
         raise Damage("no version line")
     stop = data.find(b"\r\n\r\n")
@@ -113,7 +136,7 @@ def _parse(data: bytes | bytearray, whole: bool) -> tuple[dict[str, str], bytes,
         lines = bytes(data[: max(0, data.rfind(b"\r\n"))]).split(b"\r\n")[1:]
         if whole or any(b":" not in line for line in lines):  # such as the next record's version line
             raise Damage("no end of headers")
-        raise EOFError(2 * len(data))
+        return None
     headers = {}
     for line in bytes(data[:stop]).split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
@@ -123,61 +146,79 @@ def _parse(data: bytes | bytearray, whole: bool) -> tuple[dict[str, str], bytes,
         if name in headers and name != "warc-concurrent-to":  # what is left of one record's headers runs into the next record
             raise Damage("header twice")
         headers[name] = value.decode("utf-8", "replace").strip()
-    length = headers.get("content-length", "")
-    if not length.isascii() or not length.isdigit():
+    numbers = {name: _number(headers.get(name, "")) for name in NUMBERS}
+    if numbers["content-length"] is None or numbers["content-length"] < 0:
         raise Damage("no length")
-    end = stop + 4 + int(length)
-    if len(data) < end + 4:
-        raise Damage("cut off") if whole else EOFError(end + 4)
-    if bytes(data[end : end + 4]) != b"\r\n\r\n":
+    return headers, stop + 4, numbers["content-length"]
+
+
+def _check(headers: dict[str, str], told: str, tail: bytes) -> None:
+    if tail != b"\r\n\r\n":
         raise Damage("wrong length")
-    block = bytes(data[stop + 4 : end])
-    told = headers.get("warc-block-digest", "")
-    if told.startswith("sha1:") and told[5:] != digest(block):
+    block = headers.get("warc-block-digest", "")
+    if block.startswith("sha1:") and block[5:] != told:
         raise Damage("wrong digest")
-    return headers, block, end + 4
 
 
-def _member(window: _Window) -> tuple[bytes, int]:
-    """(content, compressed length) of the gzip member at the start of the window; its CRC is checked."""
-    engine, out, used = zlib.decompressobj(31), [], 0
+def _plain(window: _Window) -> tuple[dict[str, str], bytes, int]:
+    """The record at the start of the window: what its length claims is checked before it is held, first by the bytes behind the
+    block, then by the block's digest chunk by chunk."""
+    want = FIRST_LOOK
+    while True:
+        there = window.need(want)
+        found = _headers(window.buf, there < want)
+        if found:
+            break
+        want = 2 * there
+    headers, start, length = found
+    end = start + length
+    if window.at + end + 4 > window.size:
+        raise Damage("cut off")
+    tail = window.peek(end, 4)
+    _check(headers | {"warc-block-digest": ""}, "", tail)
+    sums = hashlib.sha1()
+    for at in range(start, end, CHUNK):
+        sums.update(window.peek(at, min(CHUNK, end - at)))
+    _check(headers, base64.b32encode(sums.digest()).decode(), tail)
+    window.need(end)
+    return headers, bytes(window.buf[start:end]), end + 4
+
+
+def _member(window: _Window) -> tuple[dict[str, str], bytes, int]:
+    """The record in the gzip member at the start of the window; its CRC is checked. Inflating ends once there is more than the
+    headers say, so a member holds at most that, or its headers."""
+    engine, out, used, found, want = zlib.decompressobj(31), bytearray(), 0, None, FIRST_LOOK
     while not engine.eof:
-        if window.need(used + 1) <= used:
+        piece = engine.unconsumed_tail or window.peek(used, min(CHUNK, window.size - window.at - used))
+        if not piece:
             raise Damage("member cut off")
-        piece = bytes(window.buf[used : used + CHUNK])
+        if not engine.unconsumed_tail:
+            used += len(piece)
         try:
-            out.append(engine.decompress(piece))
+            out += engine.decompress(piece, CHUNK)
         except zlib.error as bad:
             raise Damage(str(bad)) from bad
-        used += len(piece) - len(engine.unused_data)
-    return b"".join(out), used
-
-
-def _next(window: _Window) -> tuple[dict[str, str], bytes, int]:
-    if bytes(window.buf[:3]) == GZIP:
-        content, used = _member(window)
-        headers, block, size = _parse(content, True)
-        if size != len(content):
+        if found is None and (len(out) >= want or engine.eof):
+            found, want = _headers(out, engine.eof), 2 * len(out)
+        if found and len(out) > found[1] + found[2] + 4:
             raise Damage("more than a record in a member")
-        return headers, block, used
-    want = FIRST_LOOK
-    while True:
-        there = window.need(want)
-        try:
-            return _parse(window.buf, there < want)
-        except EOFError as more:
-            want = more.args[0]
+    headers, start, length = found or _headers(out, True)
+    if len(out) != start + length + 4:
+        raise Damage("cut off" if len(out) < start + length + 4 else "more than a record in a member")
+    block = bytes(out[start : start + length])
+    _check(headers, digest(block), bytes(out[start + length :]))
+    return headers, block, used - len(engine.unused_data)
 
 
 def salvage(stream) -> Iterator[Found]:
-    """The records of a WARC stream, gzipped by record or plain, in order. Where a check fails (version line, lengths,
-    block digest, gzip CRC) the bytes up to the next member or version line that starts a valid record are quarantined
+    """The records of a seekable WARC stream, gzipped by record or plain, in order. Where a check fails (version line, numbers,
+    lengths, block digest, gzip CRC) the bytes up to the next member or version line that starts a valid record are quarantined
     and reported as one gap, and reading goes on there. An empty stream yields nothing; a stream without any record
-    yields one gap. Memory: one record and a chunk."""
+    yields one gap. Memory: one record and a few chunks, whatever lengths damaged records claim."""
     window, gap = _Window(stream), None
     while window.need(16):
         try:
-            headers, block, used = _next(window)
+            headers, block, used = _member(window) if bytes(window.buf[:3]) == GZIP else _plain(window)
         except Damage:
             gap = window.at if gap is None else gap
             if window.seek_mark((GZIP, b"WARC/1."), 1) is None:
@@ -219,7 +260,7 @@ def write_archives(pages: DataFrame, root: str, least: int = 0, roll: int = ROLL
             for page_id, url, body, sha1, keeper, revisit in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     path, n = f"{base}/{uuid.uuid4().hex}.warc.gz", 0
-                    out = files.open_output_stream(path)
+                    out = files.open_output_stream(path, compression=None)
                 told = base64.b32encode(bytes.fromhex(sha1)).decode()
                 raw = record_bytes(page_id, url, body, "revisit" if revisit else "response", keeper, told, when)
                 engine = zlib.compressobj(level, zlib.DEFLATED, 31)
@@ -247,7 +288,7 @@ def read_archives(manifest: DataFrame, root: str, payloads: bool = False) -> Dat
     kinds = {"path": pa.string(), "url": pa.string(), "record_type": pa.string(), "payload_digest": pa.string(), "payload": pa.binary()}
     names = [x.split()[0] for x in schema.split(", ")]
     target = pa.schema([(n, kinds.get(n, pa.int64())) for n in names])
-    number = lambda x: int(x) if x else None
+    number = lambda x: _number(x or "")
 
     def rows(path: str, stream) -> Iterator[tuple]:
         for x in salvage(stream):
@@ -263,7 +304,7 @@ def read_archives(manifest: DataFrame, root: str, payloads: bool = False) -> Dat
         files, _ = fs.FileSystem.from_uri(root)
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                with files.open_input_stream(path) as stream:
+                with files.open_input_file(path) as stream:
                     held, size = [], 0
                     for row in rows(path, stream):
                         held.append(row)

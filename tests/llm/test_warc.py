@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import io
 import random
 
 import pytest
@@ -75,6 +76,45 @@ def test_lengths_and_digests_are_checked():
     assert ids(w.salvage_bytes(wrong + raw[1])) == [(0, len(wrong)), 1]
 
 
+class Counted(io.BytesIO):
+    """A stream that knows the largest read of it."""
+
+    most = 0
+
+    def read(self, n=-1):
+        self.most = max(self.most, n)
+        return super().read(n)
+
+
+def test_a_false_length_is_not_held():
+    raw = records(3, False)
+    for claim in (b"99999999999", b"9" * 5000, b"70000000", "٣".encode(), b"-5", b""):
+        bad = raw[0].replace(b"Content-Length: ", b"Content-Length: " + claim + b"\r\nX-Was: ")
+        stream = Counted(bad + raw[1] + b"?" * 80_000_000 + raw[2])
+        assert ids(w.salvage(stream)) == [(0, len(bad)), 1, (len(bad + raw[1]), len(bad + raw[1]) + 80_000_000), 2]
+        assert stream.most <= 4 * w.CHUNK
+    short = w.record_bytes(1, "u", b"x" * 50_000_000, "response").replace(b"Content-Length: 50000000", b"Content-Length: 10")
+    assert ids(w.salvage_bytes(gzip.compress(short) + raw[0])) == [(0, len(gzip.compress(short))), 0]
+
+
+@pytest.mark.parametrize("zipped", [True, False])
+def test_any_byte_of_a_header_may_be_damaged(zipped):
+    raw = w.record_bytes(7, "http://x/7", b"the body", "response", when="2024-01-01T00:00:00Z")
+    around = records(4, zipped)
+    r = random.Random(int(zipped))
+    for at in range(len(raw) - len(b"the body\r\n\r\n")):
+        for new in (b"", b"9", b"\xff", b":", b"\r\n", b"-", bytes([r.randrange(256)]), r.randbytes(3)):
+            bad = raw[:at] + new + raw[at + 1 :]
+            if zipped:
+                bad = gzip.compress(bad, 1, mtime=0)
+            found = w.salvage_bytes(around[0] + around[1] + bad + around[2] + around[3])
+            whole = [x for x in found if x.headers is not None and x.start not in range(len(around[0] + around[1]), len(around[0] + around[1] + bad))]
+            assert ids(whole) == [0, 1, 2, 3], (at, new)
+            for x in found:
+                if x.headers is not None:
+                    [w._number(x.headers.get(n, "")) for n in w.NUMBERS]
+
+
 def expected(rows, least=0):
     out = []
     for i, _, h in rows:
@@ -102,10 +142,11 @@ def test_gaps_of_damaged_archives_are_reported(spark):
     manifest = w.write_archives(pages(spark, rows).coalesce(1), root)
     path = manifest.where("records > 0").first()["path"]
     files, _ = fs.FileSystem.from_uri(root)
-    with files.open_input_stream(path) as f:
+    with files.open_input_stream(path, compression=None) as f:
         data = bytearray(f.read())
+    assert gzip.decompress(bytes(data)).count(b"WARC/1.1\r\n") == 30  # members as they are, not packed once more
     data[len(data) // 2] ^= 0xFF
-    with files.open_output_stream(path) as f:
+    with files.open_output_stream(path, compression=None) as f:
         f.write(bytes(data))
     found = w.read_archives(manifest, root, payloads=True)
     gaps = found.where("gap_start IS NOT NULL").collect()
