@@ -4,22 +4,25 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import bounded_broadcast, scratch_path
+from lodestack.llm.common import bounded_broadcast, scratch_path, stored
 
 #: So many shards of a round, or of a version, are broadcast by name; more are joined by a shuffle.
 MOST_BROADCAST = 100_000
+#: Shards that one commit merges at most, whose names the driver then holds; a larger round is several commits.
+MOST_PATHS = 20_000
 #: Columns that rows have only on their way.
-RUN, PATH = "lodestack_run", "lodestack_path"
+RUN, PATH, DEAL = "lodestack_run", "lodestack_path", "lodestack_deal"
 MANIFEST = "shard string, path string, rows long, bytes long, tier int"
 
 
 @dataclass(frozen=True)
 class Settings:
-    target_bytes: int = 64 << 20  # a merged file
+    target_bytes: int = 32 << 20  # a merged file; as rows it is several times as large, and one task writes it
     smallest_bytes: int = 256 << 10  # upper edge of the lowest tier
     codec: str = "zstd"  # arrivals, the shuffle between and merged files are on disk together, so shards are packed well
     fanout: int = 4  # a tier spans sizes up to a factor of this, and is merged once it has so many runs
@@ -35,7 +38,8 @@ class Store:
     root/data/<batch>/... holds immutable Parquet files; root/manifest/v<number>/ lists the live ones. A version is written
     to a folder of its own name and renamed into place, and a rename never replaces an existing version, so readers see a
     version whole or not at all and two writers can't both commit one. Files of an uncommitted or failed run are listed in no
-    manifest; vacuum removes what no kept version lists."""
+    manifest; vacuum removes what no kept version lists and no writer can still be about to commit. A shard is named by the version
+    that added it and its number there, so reruns over equal input give equal names."""
 
     def __init__(self, spark: SparkSession, root: str, settings: Settings = Settings()):
         self.spark, self.root, self.settings = spark, root.rstrip("/"), settings
@@ -72,19 +76,20 @@ class Store:
         steps = F.log(F.greatest(size, F.lit(1)) / self.settings.smallest_bytes) / F.log(F.lit(float(self.settings.fanout)))
         return F.greatest(F.ceil(steps), F.lit(0)).cast("int")
 
-    def _listed(self, folder: str) -> DataFrame:
+    def _listed(self, folder: str, version: int) -> DataFrame:
         """The files of a folder as shards; empty ones are left out."""
         files = self.spark.read.parquet(folder).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes"))
         found = files.groupBy("path").agg(F.count("*").alias("rows"), F.max("bytes").alias("bytes"))
-        name = F.sha1(F.element_at(F.split("path", "/data/"), -1))
+        number = F.coalesce(F.nullif(F.regexp_extract("path", f"/{RUN}=([0-9]+)/", 1), F.lit("")), F.regexp_extract("path", r"/part-0*([0-9]+)-", 1))
+        name = F.concat(F.lit(f"v{version:08d}-"), F.lpad(number, 7, "0"), F.regexp_extract("path", r"-c([0-9]+)[.][^/]*$", 1))
         return found.select(name.alias("shard"), "path", "rows", "bytes", self._tier(F.col("bytes")).alias("tier"))
 
     def append(self, rows: DataFrame) -> int:
         """Adds rows as small shards, one for each task that has any; nothing is shuffled or rewritten."""
-        now = self.versions()
+        now = (self.versions() or [0])[-1]
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         rows.write.option("compression", self.settings.codec).parquet(folder)
-        return self.commit(self.manifest().union(self._listed(folder)), now[-1] if now else 0)
+        return self.commit(self.manifest().union(self._listed(folder, now + 1)), now)
 
     def plan(self, shards: DataFrame) -> DataFrame:
         """(path, run): the shards to be merged and the run each goes to.
@@ -104,51 +109,65 @@ class Store:
         return placed.withColumn("members", F.count("*").over(Window.partitionBy("run"))).where("members > 1").select("path", "run")
 
     def compact(self, order: str) -> int:
-        """Merges until no tier holds fanout shards that can be merged; each round is committed as a version."""
+        """Merges until no tier holds fanout shards that can be merged. A round merges the lowest tier that is due, so its output may
+        join the next one's; each commit merges whole runs of at most MOST_PATHS shards."""
         version = (self.versions() or [0])[-1]
         while True:
             live = self.manifest(version) if version else self.manifest()
-            # A round merges the lowest tier that is due, so its output may join the next one's.
             due = self.plan(live).withColumn("tier", F.floor(F.col("run") / (1 << 32)))
             first = due.agg(F.min("tier")).first()[0]
             if first is None:
                 return version
-            chosen = [(r["path"], r["run"]) for r in due.where(F.col("tier") == first).select("path", "run").toLocalIterator()]
+            # Whole runs, by number, until the bound; the first one always.
+            runs = due.where(F.col("tier") == first).groupBy("run").agg(F.count("*").alias("members"))
+            upto = F.sum("members").over(Window.orderBy("run")) - F.col("members")
+            runs = runs.withColumn("upto", upto).where(F.col("upto") + F.least("members", F.lit(MOST_PATHS)) <= MOST_PATHS)
+            runs = runs.select("run", (F.row_number().over(Window.orderBy("run")) - 1).alias(RUN))
+            chosen = stored(due.join(runs, "run").select(F.col("path").alias(PATH), RUN), "round")
             version = self._merge(live, chosen, order, version)
 
-    def _merge(self, live: DataFrame, chosen: list[tuple[str, int]], order: str, version: int) -> int:
-        number = {run: i for i, run in enumerate(sorted({r for _, r in chosen}))}
-        runs = len(number)
-        plan = self.spark.createDataFrame([(p, number[r]) for p, r in chosen], f"{PATH} string, {RUN} int")
-        # A row for each shard of the round; without the hint the rows themselves may be shuffled to meet it.
-        index = F.broadcast(plan) if len(chosen) <= MOST_BROADCAST else plan
-        rows = self.spark.read.parquet(*[p for p, _ in chosen]).withColumn(PATH, F.col("_metadata.file_path"))
+    def _merge(self, live: DataFrame, chosen: DataFrame, order: str, version: int) -> int:
+        paths = [r[0] for r in chosen.select(PATH).toLocalIterator()]
+        runs = chosen.agg(F.max(RUN)).first()[0] + 1
+        rows = self.spark.read.parquet(*paths).withColumn(PATH, F.col("_metadata.file_path"))
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
-        merged = rows.join(index, PATH).drop(PATH)
-        # A run becomes one file, so it goes to one task; the target bounds its size.
-        merged = merged.repartition(max(16, 4 * runs), RUN).sortWithinPartitions(RUN, order)
+        # A run becomes one file, so it goes to one task, alone; the target bounds its size.
+        merged = rows.join(F.broadcast(chosen.join(self._deals(runs), RUN)), PATH).drop(PATH)
+        merged = merged.repartition(runs, DEAL).drop(DEAL).sortWithinPartitions(RUN, order)
         merged.write.option("compression", self.settings.codec).partitionBy(RUN).parquet(folder)
-        kept = live.join(plan.select(F.col(PATH).alias("path")), "path", "left_anti").select("shard", "path", "rows", "bytes", "tier")
-        return self.commit(kept.union(self._listed(folder)), version)
+        kept = live.join(chosen.select(F.col(PATH).alias("path")), "path", "left_anti").select("shard", "path", "rows", "bytes", "tier")
+        return self.commit(kept.union(self._listed(folder, version + 1)), version)
 
-    def read(self, version: int | None = None, schema=None) -> DataFrame:
-        """The rows of a version's live shards."""
-        paths = [r["path"] for r in self.manifest(version).select("path").toLocalIterator()]
-        return self.spark.read.parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+    def _deals(self, runs: int) -> DataFrame:
+        """(run, deal): a number for each run that a shuffle by hash into as many partitions deals to a partition of its own."""
+        tried = self.spark.range(16 * runs + 64).select(F.col("id").cast("int").alias(DEAL))
+        own = tried.groupBy(F.pmod(F.hash(DEAL), F.lit(runs)).alias(RUN)).agg(F.min(DEAL).alias(DEAL))
+        every = self.spark.range(runs).select(F.col("id").cast("int").alias(RUN))
+        return every.join(own, RUN, "left").select(RUN, F.coalesce(DEAL, RUN).alias(DEAL))
 
-    def vacuum(self, keep: int = 1) -> None:
-        """Deletes data folders' files that none of the last `keep` versions lists, and older manifests."""
+    def read(self, version: int | None = None, schema=None) -> DataFrame:
+        """The rows of a version's live shards. The driver gets the folders, one for each commit that still has a shard; which of
+        their files are live is a join."""
+        live = self.manifest(version).select(F.col("path").alias(PATH))
+        folders = [r[0] for r in live.select(F.regexp_extract(PATH, "^(.*/data/[^/]+)/", 1)).distinct().toLocalIterator()]
+        return self._rows(folders, live).drop(PATH) if folders else self.spark.createDataFrame([], schema)
+
+    def _rows(self, folders: list[str], live: DataFrame) -> DataFrame:
+        every = self.spark.read.option("recursiveFileLookup", True).parquet(*folders).withColumn(PATH, F.col("_metadata.file_path"))
+        return every.join(bounded_broadcast(live, MOST_BROADCAST), PATH)
+
+    def vacuum(self, keep: int = 1, older_than_s: float = 86_400) -> None:
+        """Deletes data files that none of the last `keep` versions lists, and older manifests. Files younger than older_than_s
+        stay, since their writer may be about to commit. The files are listed and compared on the cluster."""
         known = self.versions()
-        live = set()
-        for v in known[-keep:]:
-            live |= {r["path"] for r in self.manifest(v).select("path").toLocalIterator()}
-        folder = self._path(f"{self.root}/data")
-        if self._fs.exists(folder):
-            files = self._fs.listFiles(folder, True)
-            while files.hasNext():
-                path = files.next().getPath()
-                if path.getName().endswith(".parquet") and path.toUri().getPath() not in {self._path(p).toUri().getPath() for p in live}:
-                    self._fs.delete(path, False)
+        if not known:
+            return
+        inside = lambda c: F.substring_index(c, "/data/", -1)
+        live = reduce(DataFrame.union, [self.manifest(v).select(inside(F.col("path")).alias("file")) for v in known[-keep:]]).distinct()
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(f"{self.root}/data")
+        old = files.where(F.col("modificationTime") <= F.current_timestamp() - F.make_dt_interval(secs=F.lit(older_than_s)))
+        for r in old.select(inside(F.col("path")).alias("file")).join(live, "file", "left_anti").toLocalIterator():
+            self._fs.delete(self._path(f"{self.root}/data/{r['file']}"), False)
         for v in known[:-keep]:
             self._fs.delete(self._path(f"{self.root}/manifest/v{v:08d}"), True)
 
@@ -163,14 +182,14 @@ def shard(docs: DataFrame, order: str = "doc_id", settings: Settings = Settings(
     store = Store(docs.sparkSession, scratch_path(docs.sparkSession, "shards"), settings)
     store.append(docs)
     version = store.compact(order)
-    store.vacuum()
+    store.vacuum(older_than_s=0)  # no other writer knows this store
     added = [free_name(n, docs.columns) for n in ("shard", "shard_rows", "shard_bytes", "version")]
     live = store.manifest().select(F.col("path").alias(PATH), *[F.col(c).alias(n) for c, n in zip(("shard", "rows", "bytes"), added, strict=False)])
     if not live.take(1):
         none = docs.sparkSession.createDataFrame([], docs.schema)
         kinds = ("string", "long", "long", "int")
         return none.select("*", *[F.lit(None).cast(k).alias(n) for n, k in zip(added, kinds, strict=True)])
-    rows = store.read().withColumn(PATH, F.col("_metadata.file_path")).join(bounded_broadcast(live, MOST_BROADCAST), PATH).drop(PATH)
+    rows = store._rows([f"{store.root}/data"], live).drop(PATH)
     return rows.withColumn(added[3], F.lit(version))
 
 

@@ -41,8 +41,8 @@ def test_appends_are_small_and_merges_reach_the_target(spark, store):
     assert all(r["bytes"] < 1.6 * 120_000 for r in after)
     tiers = [r["tier"] for r in after if 2 * r["bytes"] <= 120_000]
     assert all(tiers.count(t) < 4 for t in tiers)
-    for f in store.read().select(F.input_file_name()).distinct().collect():
-        ids = [r["doc_id"] for r in spark.read.parquet(f[0]).collect()]
+    for f in after:
+        ids = [r["doc_id"] for r in spark.read.parquet(f["path"]).collect()]
         assert ids == sorted(ids)
 
 
@@ -74,11 +74,59 @@ def test_an_uncommitted_run_is_invisible_and_vacuumed(spark, store, tmp_path):
         store.append(part(spark, 100 + 10 * k, 2))
     store.compact("doc_id")
     store.vacuum()
+    assert store.read().count() == 12 and os.path.exists(f"{tmp_path}/store/data/crashed")  # its writer may still commit
+    store.vacuum(older_than_s=0)
     assert store.read().count() == 12 and len(store.versions()) == 1
     left = [f for d, _, names in os.walk(f"{tmp_path}/store/data") for f in names if f.endswith(".parquet")]
     assert len(left) == store.manifest().count()
 
 
+def plan_by_hand(shards, target, fanout):
+    """{path: run} by a plain loop over the tiers."""
+    out = {}
+    for tier in {t for *_, t in shards}:
+        mine = sorted((b, n, p) for n, p, b, t in shards if t == tier and 2 * b <= target)
+        if len(mine) < fanout:
+            continue
+        total = sum(b for b, *_ in mine)
+        runs, before, placed = max(1, int(total / target + 0.5)), 0, {}
+        for b, _, p in mine:
+            placed.setdefault(min(before * runs // total, runs - 1), []).append(p)
+            before += b
+        out |= {p: (tier, r) for r, ps in placed.items() if len(ps) > 1 for p in ps}
+    return out
+
+
+def test_the_plan_matches_a_plain_loop(spark, store):
+    for seed in range(4):
+        r = random.Random(seed)
+        shards = [(f"n{i:03d}", f"p{i}", r.choice([500, 900, 3_000, 9_000, 20_000, 59_000, 61_000, 130_000]) + r.randrange(50)) for i in range(r.randrange(3, 60))]
+        rows = spark.createDataFrame([(n, p, 1, b) for n, p, b in shards], "shard string, path string, rows long, bytes long").withColumn("tier", store._tier(F.col("bytes")))
+        tiers = {x["path"]: x["tier"] for x in rows.collect()}
+        got = {x["path"]: divmod(x["run"], 1 << 32) for x in store.plan(rows).collect()}
+        assert got == plan_by_hand([(n, p, b, tiers[p]) for n, p, b in shards], store.settings.target_bytes, store.settings.fanout)
+
+
+def test_each_run_has_a_task_of_its_own(spark, store):
+    for n in (1, 2, 7, 40):
+        keys = store._deals(n).select("lodestack_deal").repartition(n, "lodestack_deal").select(F.spark_partition_id().alias("p")).collect()
+        assert sorted(r["p"] for r in keys) == list(range(n))
+
+
+def test_names_are_stable_and_rounds_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(s, "MOST_PATHS", 9)
+    names = []
+    for k in range(2):
+        store = s.Store(spark, f"file://{tmp_path}/store{k}", s.Settings(target_bytes=60_000, smallest_bytes=4_000))
+        for i in range(30):
+            store.append(part(spark, 10 * i, 4))
+        before = store.versions()[-1]
+        store.compact("doc_id")
+        assert store.versions()[-1] - before > 3 and store.read().count() == 120 and store.read().select("doc_id").distinct().count() == 120
+        names.append({(r["shard"], r["rows"]) for r in store.manifest().collect()})
+    assert names[0] == names[1] and len({n for n, _ in names[0]}) == len(names[0]) > 3
+
+
 def test_odd_rows_and_empty_tables(spark):
     docs = table(spark, odd()).repartition(7)
     out = s.shard(docs, settings=s.Settings(target_bytes=200_000, smallest_bytes=2_000))
