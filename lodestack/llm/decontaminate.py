@@ -65,8 +65,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     matched and item_windows (of the item), coverage, slots and broken_slots.
 
     Both texts become templates; windows of `window` words (an item of fewer: all its words) are hashed and joined. Windows
-    of a pair that lie at the same distance are one alignment, and in it each value of an item's slot must stand for one value
-    in the document throughout and the types must agree; a broken alignment doesn't count. A pair is returned if the other
+    of a pair that lie at the same distance are one alignment, and in it each value of an item's slots must stand for one value
+    in the document throughout, and each of the document's for one of the item, and the types must agree; a broken alignment
+    doesn't count. A pair is returned if the other
     alignments cover at least `coverage` of the item's windows, so questions with other numbers, names or units are caught,
     and chance matches of a few words are not.
 
@@ -76,7 +77,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     n = settings.window
     items = benchmark.select("item_id", plain_words(F.col("text")).alias("raw")).where("raw <> ''").distinct()
     items = items.select("item_id", F.split("raw", " ").alias("raw"), F.split(template(F.col("raw")), " ").alias("words"))
-    items = stored(items.where(F.size("raw") == F.size("words")), "items")
+    same = F.when(F.size("raw") == F.size("words"), True).otherwise(F.raise_error(F.concat(F.lit("a template of other length than its item: "), F.col("item_id"))).cast("boolean"))
+    items = stored(items.where(same), "items")
     # Items shorter than a window are matched whole, at their own length.
     lengths = [n] + [r[0] for r in items.where(F.size("words") < n).select(F.size("words").alias("n")).distinct().collect()]
     long = items.where(F.size("words") >= n)
@@ -113,8 +115,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings = Set
     needed = slots.select("doc_id").distinct()
     texts = whole.join(needed, "doc_id", "left_semi").select("doc_id", F.split("raw", " ").alias("doc_words"))
     values = slots.join(texts, "doc_id").withColumn("doc_value", F.translate(F.get("doc_words", F.col("doc_place")), END, ""))
-    by_value = values.groupBy("doc_id", "item_id", "shift", "word", "value").agg(F.countDistinct("doc_value").alias("kinds"))
-    broken = by_value.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("slots"), F.sum((F.col("kinds") > 1).cast("long")).alias("broken"))
+    # A row for each pair of values in an alignment; a value that stands in two pairs of its type is broken.
+    met = values.select("doc_id", "item_id", "shift", "word", "value", "doc_value").distinct()
+    both = F.explode(F.array(F.struct(F.lit(True).alias("of_item"), F.col("value").alias("v")), F.struct(F.lit(False).alias("of_item"), F.col("doc_value").alias("v"))))
+    by_value = met.select("doc_id", "item_id", "shift", "word", both.alias("x")).groupBy("doc_id", "item_id", "shift", "word", "x").agg(F.count("*").alias("kinds"))
+    slotted = by_value.groupBy("doc_id", "item_id", "shift")
+    broken = slotted.agg(F.count_if(F.col("x.of_item")).alias("slots"), F.count_if(F.col("kinds") > 1).alias("broken"))
     runs = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("h").alias("found"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "item_id", "shift")]
     runs = runs.alias("r").join(broken.alias("b"), same, "left").select("r.*", "b.slots", "b.broken")

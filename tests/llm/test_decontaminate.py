@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,6 +88,52 @@ def test_matches_brute_force(spark):
     assert {k: pytest.approx(v["coverage"]) for k, v in got.items()} == brute(docs, items)
 
 
+def test_two_values_may_not_become_one(spark):
+    docs = table(spark, [(1, SAME.replace("7 kg", "40 kg"), "en", "a"), (2, SAME.replace("Dave", "Carol"), "en", "a"), (3, SAME, "en", "a")])
+    assert set(found(spark, docs, ITEM)) == {(3, 0)}
+
+
+LITERAL = "the of old mill river brings green stones under every second bridge while people count boats and birds until dark".split()
+
+
+def question(seed, n):
+    """Words, numbers and names; it starts with a word, and names follow words or numbers."""
+    r = random.Random(seed)
+    return [r.choice(LITERAL)] + [r.choice([r.choice(LITERAL)] * 5 + [str(r.randrange(5))] + [r.choice(["Ann", "Bob", "Cy"])]) for _ in range(n - 1)]
+
+
+def as_template(tokens):
+    return ["<n>" if t.isdigit() else "<name>" if t[0].isupper() else t for t in tokens]
+
+
+def brute_templates(doc, item, n=5, literal=3, coverage=0.5):
+    """Whether a document holds an item under other numbers and names, by all alignments one after the other."""
+    a, b = as_template(doc), as_template(item)
+    windows = [(j, tuple(b[j : j + n])) for j in range(len(b) - n + 1)]
+    good = [w for w in windows if sum(x[0] != "<" for x in w[1]) >= literal] or windows
+    hit = set()
+    for shift in range(-len(b), len(a)):
+        mine = [(j, w) for j, w in good if 0 <= j + shift <= len(a) - n and tuple(a[j + shift : j + shift + n]) == w]
+        places = {p for j, _ in mine for p in range(j, j + n) if b[p][0] == "<"}
+        pairs = {(b[p], item[p], doc[p + shift]) for p in places}
+        if len({x[:2] for x in pairs}) == len(pairs) == len({(x[0], x[2]) for x in pairs}):
+            hit |= {w for _, w in mine}
+    return len(hit) / len({w for _, w in good}) >= coverage
+
+
+def test_templates_and_slots_match_brute_force(spark):
+    items = [question(j, 8 + 4 * j) for j in range(6)]
+    docs = []
+    for i in range(90):
+        r = random.Random(i)
+        change = {str(k): str(r.randrange(5 if i % 3 else 50)) for k in range(5)} | {x: r.choice(["Kim", "Lee", "Moe"][: 1 + i % 3]) for x in ("Ann", "Bob", "Cy")}
+        copy = [change.get(t, t) if r.random() < 0.97 else r.choice(LITERAL) for t in items[i % 6]]
+        docs.append(question(1000 + i, 6) + copy[: len(copy) if i % 4 else len(copy) * 2 // 3] + question(2000 + i, 5))
+    got = found(spark, table(spark, [(i, " ".join(d), "en", "a") for i, d in enumerate(docs)]), *[" ".join(t) for t in items])
+    want = {(i, j) for i, d in enumerate(docs) for j, t in enumerate(items) if brute_templates(d, t)}
+    assert set(got) == want and 20 < len(want) < 90
+
+
 def test_odd_rows_and_empty_tables(spark):
     docs = table(spark, odd())
     got = found(spark, docs, odd()[7][1], "no id here but some words to read")
