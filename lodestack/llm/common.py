@@ -19,11 +19,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a temporary one if all run on this
+    machine, else an error."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not told:
         told = getattr(spark.sparkContext, "_lodestack_dir", None)
         if told is None:
+            if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             told = "file://" + tempfile.mkdtemp(prefix="lodestack-")
             spark.sparkContext._lodestack_dir = told
     return told.rstrip("/")

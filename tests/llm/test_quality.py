@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -26,9 +27,14 @@ def label_table(spark, labels):
 
 def dense(docs, labels):
     """The same scores from matrices."""
-    x = q.transformed(np.array([q.statistics(t.encode()) for _, t, *_ in docs]))
-    y = np.array([k for _, k, *_ in labels])
     train = np.array([zlib.crc32(str(i).encode()) % 5 != 0 for i, *_ in docs])
+    y = np.array([k for _, k, *_ in labels])
+    often = Counter(w for (_, t, *_), k in zip(docs, train, strict=True) if k for w in set(t.lower().encode().split()))
+    common = frozenset(sorted(often, key=lambda w: (-often[w], w))[: q.COMMON_WORDS])
+    counts = np.array([q.statistics(t.encode(), common) for _, t, *_ in docs], float)
+    long = counts[train & (counts[:, 0] >= q.PRIOR_WORDS)]
+    usual = np.hstack([long[:, 3:8] / long[:, [1]], long[:, 8:] / long[:, [0]]]).mean(0)
+    x = q.transformed(counts, usual)
     center, scale = x[train].mean(0), np.sqrt(np.maximum(x[train].var(0), 1e-8))
     z = (x - center) / scale
     s = q.Settings()
