@@ -38,17 +38,37 @@ def relation_edges(rows: DataFrame, src: str, src_kind: str, dst: str, dst_kind:
     return rows.where(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.lit(name).alias("relation"), end(src, src_kind).alias("src"), end(dst, dst_kind).alias("dst"))
 
 
+#: The relations of a catalogue: name, source column and kind, target column and kind. Those of names are resolved to artists first.
+RELATIONS = (
+    ("by_artist", "release_id", "release", "artist_id", "artist"),
+    ("on_label", "release_id", "release", "label_id", "label"),
+    ("derived_from", "release_id", "release", "master_id", "master"),
+    ("in_genre", "release_id", "release", "genre", "genre"),
+    ("in_style", "release_id", "release", "style", "style"),
+    ("master_by_artist", "master_id", "master", "artist_id", "artist"),
+    ("master_in_genre", "master_id", "master", "genre", "genre"),
+    ("master_in_style", "master_id", "master", "style", "style"),
+    ("credited_on", "release_id", "release", "artist_id", "artist"),
+    ("track_credited_on", "release_id", "release", "artist_id", "artist"),
+    ("track_by_artist", "release_id", "release", "artist_id", "artist"),
+)
+
+
+def edges_of(tables: dict[str, DataFrame], same_as: DataFrame) -> DataFrame:
+    """All relations as one bag of (relation, src, dst), from their tables by name, such as those of dumps; absent ones are left
+    out. Credits, on releases and on tracks, are of names; same_as(person_name, artist_id) resolves them."""
+    found = {n: credited_artists(t, same_as) if n in ("credited_on", "track_credited_on") else t for n, t in tables.items()}
+    return reduce(DataFrame.unionByName, [relation_edges(found[name], *ends, name) for name, *ends in RELATIONS if name in found])
+
+
 def catalogue_edges(cat) -> DataFrame:
-    """All relations of a catalogue as one bag of (relation, src, dst)."""
-    parts = [
-        relation_edges(cat.by_artist, "release_id", "release", "artist_id", "artist", "by_artist"),
-        relation_edges(cat.on_label, "release_id", "release", "label_id", "label", "on_label"),
-        relation_edges(cat.derived_from, "release_id", "release", "master_id", "master", "derived_from"),
-        relation_edges(cat.in_genre, "release_id", "release", "genre", "genre", "in_genre"),
-        relation_edges(cat.in_style, "release_id", "release", "style", "style", "in_style"),
-        relation_edges(credited_artists(cat.credited_on, cat.same_as), "release_id", "release", "artist_id", "artist", "credited_on"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return edges_of({name: getattr(cat, name) for name, *_ in RELATIONS}, cat.same_as)
+
+
+def catalogue_releases(cat) -> DataFrame:
+    """(vertex): releases that a credit or a track names, even if none of its names is an artist's."""
+    found = discovered_releases(cat.credited_on).union(discovered_releases(cat.track_credited_on)).union(cat.track_by_artist.select("release_id"))
+    return found.distinct().select(F.concat(F.lit(KINDS["release"] + ":"), F.col("release_id").cast("string")).alias("vertex"))
 
 
 def edge_report(edges: DataFrame) -> DataFrame:
@@ -58,9 +78,10 @@ def edge_report(edges: DataFrame) -> DataFrame:
 
 def undirected(edges: DataFrame) -> DataFrame:
     """(src, dst) in both directions, parallel edges as one and loops gone. Ordered ends are made distinct first, so only half
-    of the rows are shuffled."""
-    one = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-    return one.union(one.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    of the rows are shuffled; each is then read once and gives two rows."""
+    one = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    ends = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"))
+    return one.select(F.inline(F.array(ends("a", "b"), ends("b", "a"))))
 
 
 def vertices(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -111,41 +132,27 @@ def projection(keys: np.ndarray, dim: int, seed: int) -> np.ndarray:
 
 
 def keyed(points: DataFrame) -> DataFrame:
-    """(vertex, node_key); raises if two vertices have one key."""
-    named = points.select("vertex", node_key(F.substring_index("vertex", ":", 1), F.expr("substring(vertex, instr(vertex, ':') + 1)")).alias("node_key"))
-    return named
+    """(vertex, node_key); see with_distinct_keys."""
+    return points.select("vertex", _key("vertex").alias("node_key"))
 
 
-def _kept(df: DataFrame, spark) -> DataFrame:
-    path = f"{shared_dir(spark)}/fastrp/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
+def _key(vertex: str):
+    return node_key(F.substring_index(vertex, ":", 1), F.expr(f"substring({vertex}, instr({vertex}, ':') + 1)"))
 
-def _sums(rows: DataFrame, dim: int) -> DataFrame:
-    """(key, n, v) over rows(key, n, v): vectors added up by key. Batches add up their own rows first, so a hub sends a few partial
-    sums to the task of its key; that task has its rows in order of the key and holds one sum at a time."""
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield _added(batch, dim)
+def with_distinct_keys(points: DataFrame) -> DataFrame:
+    """keyed(vertex, node_key) as it is; ValueError if two vertices have one key."""
+    twice = points.groupBy("node_key").agg(F.min("vertex").alias("a"), F.max("vertex").alias("b")).where("a <> b").take(1)
+    if twice:
+        raise ValueError(f"two vertices have one key: {twice[0]['a']} and {twice[0]['b']}")
+    return points
 
-    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch] if held is None else [held, batch.cast(held.schema)]).combine_chunks()
-            added = _added(table.to_batches()[0], dim)
-            if added.num_rows > 1:
-                yield added.slice(0, added.num_rows - 1)
-            held = added.slice(added.num_rows - 1)
-        if held is not None:
-            yield held
 
-    schema = "key long, n long, v binary"
-    return rows.mapInArrow(partial, schema).repartition("key").sortWithinPartitions("key").mapInArrow(final, schema)
+def kept(df: DataFrame, name: str = "graph") -> DataFrame:
+    """Written to the shared folder and read back: computed once, however often it is used, and a lost executor costs a step."""
+    path = f"{shared_dir(df.sparkSession)}/{name}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -161,74 +168,152 @@ def _bytes(v: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(v), [None, offsets, pa.py_buffer(np.ascontiguousarray(v, np.float32))])
 
 
-def _added(batch: pa.RecordBatch, dim: int) -> pa.RecordBatch:
-    keys, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-    v = _matrix(batch.column(2), dim)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    start = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    total = np.add.reduceat(v[order], start, 0, np.float64)
-    return pa.RecordBatch.from_arrays([pa.array(keys[start]), pa.array(np.add.reduceat(n[order], start)), _bytes(total)], names=["key", "n", "v"])
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys starts."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+
 
+def _unit(v: np.ndarray, weight) -> np.ndarray:
+    """Rows at a length of weight; zero rows stay."""
+    size = np.sqrt((v.astype(np.float64) ** 2).sum(1))
+    return v * np.divide(weight, size, out=np.zeros_like(size), where=size > 0)[:, None]
 
-def fastrp(edges: DataFrame, config: FastRP = FastRP(), kinds: tuple[str, ...] | None = None) -> DataFrame:
+
+def _sums(v: np.ndarray, at: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of the rows of v that at names, from each start on; NumPy adds up one long run of rows fast, and many short ones at once."""
+    out = np.zeros((len(start), v.shape[1]))
+    for i in np.flatnonzero(n > FEW):
+        run = at[start[i] : start[i] + n[i]]
+        for a in range(0, len(run), GATHERED):
+            out[i] += v.take(run[a : a + GATHERED], 0).sum(0, np.float64)
+    few = np.flatnonzero(n <= FEW)
+    for a in range(0, len(few), GATHERED // FEW):
+        some = few[a : a + GATHERED // FEW]
+        ends = np.cumsum(n[some])
+        places = np.repeat(start[some] - ends + n[some], n[some]) + np.arange(ends[-1])
+        out[some] = np.add.reduceat(v.take(at[places], 0), ends - n[some], 0, np.float64)
+    return out
+
+
+#: Edges of a block, about, and of the part of one source that lies in a block. A task holds a vector for each target of its block,
+#: so at most 512 bytes for each of its edges; the fewer blocks, the less often a vector is shipped.
+BLOCK_EDGES = 2_000_000
+#: Vectors that are gathered at a time, and the edges up to which sources are added up together, not one by one.
+GATHERED, FEW = 1 << 16, 32
+#: Sources with so many edges that they are cut, at most, that are broadcast.
+MOST_HUBS = 100_000
+
+
+def blocks_of(both: DataFrame, block_edges: int = BLOCK_EDGES) -> tuple[DataFrame, DataFrame]:
+    """(block, src, dst) of undirected edges by key, and the sources (src) that are cut over several blocks: those of more than
+    block_edges edges, by their targets."""
+    edges = both.count()
+    degree = both.groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") > block_edges)
+    hubs = kept(degree.select("src", F.ceil(F.col("n") / block_edges).cast("int").alias("parts")))
+    few = F.broadcast(hubs) if hubs.count() <= MOST_HUBS else hubs
+    part = F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1)))
+    block = F.pmod(F.xxhash64("src", part), F.lit(max(1, -(-edges // block_edges)))).cast("int")
+    return both.join(few, "src", "left").select(block.alias("block"), "src", "dst"), hubs.select("src")
+
+
+def fastrp(edges: DataFrame, config: FastRP = FastRP(), kinds: tuple[str, ...] | None = None, known: DataFrame | None = None, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """(vertex, embedding): sums of the normalised powers of the transition matrix times the projection, and of the normalised
-    projection itself at self_weight. A vertex without neighbours keeps what its own row gives; zero rows stay 0.
+    projection itself at self_weight. A vertex without neighbours, such as one of known(vertex), keeps what its own row gives;
+    zero rows stay 0.
 
-    Each hop joins the edges with the vectors on the target and takes means by source, with partial sums before the shuffle.
-    Each hop is written to the shared folder, so a lost executor costs one hop and no lineage grows."""
-    spark = edges.sparkSession
+    Edges are dealt into blocks by source once. A hop ships each vector once to each block that has an edge to it, and a block
+    takes the means of its sources by slices of columns; the parts of a cut source are put together afterwards. The projection is made
+    from keys where it is needed and never shipped. Each hop is written to the shared folder, so a lost executor costs one hop."""
     dim = config.dim
-    points = _kept(keyed(vertices(edges)), spark)
-    if points.select("node_key").distinct().count() != points.count():
-        raise ValueError("two vertices have one key")
-    of = lambda c: points.select(F.col("vertex").alias(c), F.col("node_key").alias(f"{c}_key"))
-    both = _kept(undirected(edges).join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_key").alias("src"), F.col("dst_key").alias("dst")), spark)
-    start = points.select("node_key", F.lit(1.0).alias("scale"))
+    bag = kept(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    points = with_distinct_keys(kept(keyed(vertices(bag, known))))
+    both = kept(undirected(bag.where("src <> dst").select(_key("src").alias("src"), _key("dst").alias("dst"))))
+    dealt, hubs = blocks_of(both, block_edges)
+
+    def pack(edges: pa.Table) -> pa.Table:
+        """A block as one row: its targets, its sources, where the edges of each start, and the targets' places in their order."""
+        src, dst = (edges.column(c).to_numpy() for c in ("src", "dst"))
+        order = np.argsort(src, kind="stable")
+        src, (dst, at) = src[order], np.unique(dst[order], return_inverse=True)
+        start = _runs(src)
+        bits = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+        targets = pa.ListArray.from_arrays(pa.array([0, len(dst)], pa.int32()), pa.array(dst))
+        return pa.table({"block": edges.column("block").slice(0, 1), "dst": targets, "src": bits(src[start], np.int64), "start": bits(start, np.int32), "at": bits(at, np.int32)})
+
+    packed = kept(dealt.groupBy("block").applyInArrow(pack, "block int, dst array<long>, src binary, start binary, at binary"))
+    need = packed.select(F.col("block").alias("to"), F.explode("dst").alias("dst"))
     if config.beta:
-        degree = both.groupBy(F.col("src").alias("node_key")).agg(F.count("*").alias("degree"))
-        start = points.join(degree, "node_key", "left").select("node_key", F.pow(F.coalesce("degree", F.lit(1)), F.lit(config.beta)).alias("scale"))
+        degree = both.groupBy(F.col("src").alias("dst")).agg(F.pow(F.count("*"), F.lit(config.beta)).alias("scale"))
+        scaled = kept(need.join(degree, "dst").select("to", "dst", "scale"))
+    else:
+        scaled = need.withColumn("scale", F.lit(1.0))
+
+    def means(first: bool):
+        def run(edges: pa.Table, vectors: pa.Table) -> pa.Table:
+            src, start, at = (np.frombuffer(edges.column(c)[0].as_py(), kind) for c, kind in (("src", np.int64), ("start", np.int32), ("at", np.int32)))
+            keys = vectors.column("dst").to_numpy()
+            if first:
+                v = projection(keys.view(np.uint64), dim, config.seed) * vectors.column("scale").to_numpy()[:, None].astype(np.float32)
+            else:
+                v = np.concatenate([_matrix(chunk, dim) for chunk in vectors.column("v").chunks])
+            at = np.argsort(keys)[at]
+            n = np.diff(np.r_[start, len(at)])
+            out = _sums(v, at, start, n) / n[:, None]
+            return pa.table({"key": pa.array(src, pa.int64()), "n": pa.array(n, pa.int64()), "v": _bytes(out)})
+
+        return run
+
+    def whole(key, parts):
+        """The mean of a cut source from the means of its parts."""
+        n = parts.column("n").to_numpy()
+        v = _matrix(pa.concat_arrays(parts.column("v").chunks), dim).astype(np.float64)
+        return pa.table({"key": parts.column("key").slice(0, 1), "n": pa.array([int(n.sum())], pa.int64()), "v": _bytes(((n / n.sum()) @ v)[None])})
 
-    def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(0).to_numpy()
-            r = projection(keys.view(np.uint64), dim, config.seed) * batch.column(1).to_numpy()[:, None].astype(np.float32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), _bytes(r)], names=["key", "v"])
-
-    def scaled(rows: DataFrame, weight: float, mean: bool) -> DataFrame:
-        """Vectors at a length of weight, or their means."""
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                v = _matrix(batch.column(2), dim)
-                if mean:
-                    v = v / batch.column(1).to_numpy()[:, None].astype(np.float32)
-                else:
-                    size = np.sqrt((v.astype(np.float64) ** 2).sum(1))
-                    v = v * np.where(size > 0, weight / np.where(size > 0, size, 1), 0).astype(np.float32)[:, None]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _bytes(v)], names=["key", "n", "v"])
-
-        return rows.select("key", "n", "v").mapInArrow(run, "key long, n long, v binary")
-
-    now = _kept(start.mapInArrow(project, "key long, v binary").withColumn("n", F.lit(1).cast("long")), spark)
-    terms = [scaled(now, config.self_weight, False)] if config.self_weight else []
+    schema = "key long, n long, v binary"
+    cut = hubs.take(1)
+    now, terms = None, []
     last = max(k for k, w in enumerate(config.weights) if w)
     for k in range(last + 1):
-        around = both.join(now.select(F.col("key").alias("dst"), "v"), "dst").select(F.col("src").alias("key"), F.lit(1).cast("long").alias("n"), "v")
-        now = _kept(scaled(_sums(around, dim), 1.0, True).withColumn("n", F.lit(1).cast("long")), spark)
+        moved = scaled if now is None else need.join(now.select(F.col("key").alias("dst"), "v"), "dst")
+        now = kept(packed.drop("dst").groupBy("block").cogroup(moved.groupBy("to")).applyInArrow(means(now is None), schema))
+        if cut:
+            split = F.broadcast(hubs) if hubs.count() <= MOST_HUBS else hubs
+            parts = now.join(split, F.col("key") == F.col("src"), "left_semi").groupBy("key").applyInArrow(whole, schema)
+            now = kept(now.join(split, F.col("key") == F.col("src"), "left_anti").unionByName(parts))
         if config.weights[k]:
-            terms.append(scaled(now, config.weights[k], False))
-    total = _sums(reduce(DataFrame.unionByName, terms), dim).join(points, F.col("key") == F.col("node_key"))
-    if kinds:
-        total = total.where(F.substring_index("vertex", ":", 1).isin(*kinds))
+            terms.append(now.select("key", F.lit(float(config.weights[k])).alias("w"), "v"))
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums by key of rows in order of it, at their weights; a row without a vector stands for the projection of its key."""
+        held: tuple[np.ndarray, np.ndarray] | None = None
         for batch in batches:
-            v = _matrix(batch.column(1), dim)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * dim, pa.int32()), pa.array(v.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat], names=["vertex", "embedding"])
-
-    return total.select("vertex", "v").mapInArrow(unpack, "vertex string, embedding array<float>")
+            if not batch.num_rows:
+                continue
+            keys, w, none = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            v = np.zeros((len(keys), dim))
+            v[none] = projection(keys[none].view(np.uint64), dim, config.seed)
+            v[~none] = _matrix(batch.column(2).filter(pa.array(~none)), dim)
+            v = _unit(v, w)
+            if held is not None:
+                keys, v = np.r_[held[0], keys], np.concatenate([held[1], v])
+            start = _runs(keys)
+            keys, v = keys[start], np.add.reduceat(v, start, 0)
+            held = keys[-1:], v[-1:]
+            yield out(keys[:-1], v[:-1])
+        if held is not None:
+            yield out(*held)
+
+    def out(keys: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * dim, pa.int32()), pa.array(v.ravel().astype(np.float32)))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), flat], names=["node_key", "embedding"])
+
+    mine = points if kinds is None else points.where(F.substring_index("vertex", ":", 1).isin(*kinds))
+    mine = kept(mine.select("vertex", "node_key"))
+    keys = mine.select(F.col("node_key").alias("key"))
+    rows = reduce(DataFrame.unionByName, terms).join(keys, "key", "left_semi")
+    rows = rows.unionByName(keys.select("key", F.lit(float(config.self_weight)).alias("w"), F.lit(None).cast("binary").alias("v")))
+    total = rows.repartition("key").sortWithinPartitions("key").mapInArrow(added, "node_key long, embedding array<float>")
+    return total.join(mine, "node_key").select("vertex", "embedding")
 
 
 def vertex_sample(points: DataFrame, n: int, seed: int) -> DataFrame:

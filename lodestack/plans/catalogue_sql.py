@@ -13,6 +13,7 @@ artists AS (SELECT s_suppkey AS artist_id, s_name AS artist_name FROM supplier),
 labels_ AS (SELECT p_partkey AS label_id, p_name AS label_name, p_brand = 'Brand#1' AS is_placeholder FROM part),
 masters AS (SELECT c_custkey AS master_id, c_name AS title, year(f)::INT AS year, month(f)::INT AS month FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderdate) AS f FROM orders GROUP BY 1) ON o_custkey = c_custkey),
 credits AS (SELECT p_name AS person_name, l_orderkey AS release_id, CASE l_returnflag WHEN 'A' THEN 'production' WHEN 'N' THEN 'design' ELSE 'session' END AS role_category FROM lineitem JOIN part ON l_partkey = p_partkey),
+track_credits AS (SELECT p_name AS person_name, l_orderkey AS release_id, CASE l_linestatus WHEN 'F' THEN 'engineering' ELSE 'design' END AS role_category FROM lineitem JOIN part ON l_partkey = p_partkey),
 same_as AS (SELECT DISTINCT p_name AS person_name, s_suppkey AS artist_id FROM part JOIN supplier ON p_partkey = s_suppkey),
 ev AS (SELECT event_id, event_type, user_id AS subject_id, ts AS occurred_at, json_extract_string(props, '$.k')::INT AS k FROM events),
 im AS (SELECT event_id AS impression_id, subject_id, 'policy-' || (k % 4)::VARCHAR AS policy_id, subject_id * 100 + k AS candidate_set_id, occurred_at, k FROM ev WHERE event_type = 'view'),
@@ -31,7 +32,12 @@ edges_ AS (
   UNION ALL SELECT 'derived_from', 'r:' || release_id, 'm:' || master_id FROM derived_from
   UNION ALL SELECT 'in_genre', 'r:' || release_id, 'g:' || genre FROM in_genre
   UNION ALL SELECT 'in_style', 'r:' || release_id, 's:' || style FROM in_style
-  UNION ALL SELECT DISTINCT 'credited_on', 'r:' || release_id, 'a:' || artist_id FROM credits JOIN same_as USING (person_name) WHERE role_category IN ('production', 'engineering', 'session', 'other')),
+  UNION ALL SELECT DISTINCT 'credited_on', 'r:' || release_id, 'a:' || artist_id FROM credits JOIN same_as USING (person_name) WHERE role_category IN ('production', 'engineering', 'session', 'other')
+  UNION ALL SELECT DISTINCT 'track_credited_on', 'r:' || release_id, 'a:' || artist_id FROM track_credits JOIN same_as USING (person_name) WHERE role_category IN ('production', 'engineering', 'session', 'other')
+  UNION ALL SELECT DISTINCT 'track_by_artist', 'r:' || l_orderkey, 'a:' || s_suppkey FROM lineitem JOIN supplier ON l_partkey = s_suppkey
+  UNION ALL SELECT 'master_by_artist', 'm:' || c_custkey, 'a:' || s_suppkey FROM customer JOIN supplier ON c_custkey = s_suppkey
+  UNION ALL SELECT 'master_in_genre', 'm:' || c_custkey, 'g:' || p_type FROM customer JOIN part ON c_custkey = p_partkey
+  UNION ALL SELECT 'master_in_style', 'm:' || c_custkey, 's:' || p_brand FROM customer JOIN part ON c_custkey = p_partkey),
 both_ AS (SELECT DISTINCT src, dst FROM (SELECT src, dst FROM edges_ UNION ALL SELECT dst, src FROM edges_))
 """
 

@@ -214,7 +214,8 @@ def discovered_releases(spark, sf):
 
 
 def _both(spark, sf):
-    return graph.undirected(graph.catalogue_edges(Catalogue(spark, sf)))
+    """Written, since degrees and weights read it more than once."""
+    return graph.kept(graph.undirected(graph.catalogue_edges(Catalogue(spark, sf))))
 
 
 def edge_report(spark, sf):
@@ -222,7 +223,8 @@ def edge_report(spark, sf):
 
 
 def vertex_counts(spark, sf):
-    return graph.vertices(graph.catalogue_edges(Catalogue(spark, sf))).groupBy("kind").agg(F.count("*").alias("vertices"))
+    c = Catalogue(spark, sf)
+    return graph.vertices(graph.catalogue_edges(c), graph.catalogue_releases(c)).groupBy("kind").agg(F.count("*").alias("vertices"))
 
 
 def vertex_degree(spark, sf):
@@ -238,11 +240,12 @@ def degree_buckets(spark, sf):
 
 
 def node_keys(spark, sf):
-    return graph.keyed(graph.vertices(graph.catalogue_edges(Catalogue(spark, sf))))
+    return graph.with_distinct_keys(graph.kept(graph.keyed(graph.vertices(graph.catalogue_edges(Catalogue(spark, sf))))))
 
 
 def fastrp_embeddings(spark, sf):
-    return neighbours.half_precision(graph.fastrp(graph.catalogue_edges(Catalogue(spark, sf)), kinds=("a",)).withColumnRenamed("vertex", "id"))
+    c = Catalogue(spark, sf)
+    return neighbours.half_precision(graph.fastrp(graph.catalogue_edges(c), kinds=("a",), known=graph.catalogue_releases(c)).withColumnRenamed("vertex", "id"))
 
 
 def exact_top_k(spark, sf):

@@ -79,6 +79,41 @@ class Catalogue:
         part = self.table("part").select("p_partkey", F.col("p_name").alias("person_name"))
         return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).select("person_name", "release_id", "role_category", "track")
 
+    @property
+    def track_credited_on(self) -> DataFrame:
+        """(person_name, release_id, track_ordinal, sub_track_ordinal, track_position, role_category): lines whose status is F name
+        an engineer of the track, others a designer."""
+        kind = F.when(F.col("l_linestatus") == "F", "engineering").otherwise("design")
+        lines = self._lines.select("l_partkey", F.col("l_orderkey").alias("release_id"), F.col("l_linenumber").alias("track_ordinal"), kind.alias("role_category"))
+        part = self.table("part").select("p_partkey", F.col("p_name").alias("person_name"))
+        named = lines.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        return named.select("person_name", "release_id", "track_ordinal", F.lit(-1).alias("sub_track_ordinal"), F.lit(None).cast("string").alias("track_position"), "role_category")
+
+    @property
+    def track_by_artist(self) -> DataFrame:
+        """(release_id, track_ordinal, artist_id): a line's part is performed by the supplier of the same key, if there is one."""
+        lines = self._lines.select(F.col("l_orderkey").alias("release_id"), F.col("l_linenumber").alias("track_ordinal"), F.col("l_partkey").alias("artist_id"))
+        return lines.join(self.artists.select("artist_id"), "artist_id", "left_semi").select("release_id", "track_ordinal", "artist_id")
+
+    @property
+    def master_by_artist(self) -> DataFrame:
+        """(master_id, artist_id): a master's own artist is the supplier of the same key, if there is one."""
+        masters = self.table("customer").select(F.col("c_custkey").alias("master_id"))
+        return masters.join(self.artists, F.col("master_id") == F.col("artist_id")).select("master_id", "artist_id")
+
+    def _master_tag(self, column: str, name: str) -> DataFrame:
+        """A master's own genre or style is that of the part of the same key, if there is one."""
+        part = self.table("part").select("p_partkey", F.col(column).alias(name))
+        return self.table("customer").join(part, F.col("c_custkey") == F.col("p_partkey")).select(F.col("c_custkey").alias("master_id"), name)
+
+    @property
+    def master_in_genre(self) -> DataFrame:
+        return self._master_tag("p_type", "genre")
+
+    @property
+    def master_in_style(self) -> DataFrame:
+        return self._master_tag("p_brand", "style")
+
     @property
     def same_as(self) -> DataFrame:
         """(person_name, artist_id): a name stands for every supplier with the key of one of its parts."""

@@ -57,12 +57,12 @@ def dense(pairs, config):
     return names, total
 
 
-@pytest.mark.parametrize("config", [FastRP(dim=16), FastRP(dim=8, self_weight=0, beta=-0.5, weights=(1, 0, 0.5))])
-def test_fastrp_matches_dense_matrices(spark, config):
+@pytest.mark.parametrize(("config", "block"), [(FastRP(dim=16), 10**6), (FastRP(dim=40), 37), (FastRP(dim=8, self_weight=0, beta=-0.5, weights=(1, 0, 0.5)), 90)])
+def test_fastrp_matches_dense_matrices(spark, config, block):
     rng = np.random.default_rng(11)
     pairs = [(f"r:{i}", f"a:{int(rng.zipf(1.6)) % 40}") for i in range(150) for _ in range(2)] + [(f"r:{i}", f"g:{i % 3}") for i in range(150)] + [("a:99", "a:99")]
     names, want = dense(pairs, config)
-    got = {r["vertex"]: r["embedding"] for r in graph.fastrp(bag(spark, pairs), config).collect()}
+    got = {r["vertex"]: r["embedding"] for r in graph.fastrp(bag(spark, pairs), config, block_edges=block).collect()}
     for n, w in zip(names, want, strict=True):
         assert np.abs(np.array(got.get(n, np.zeros(config.dim))) - w).max() < 1e-5, n
     kept = graph.fastrp(bag(spark, pairs), config, ("g",))
@@ -79,3 +79,21 @@ def test_vertex_sample_is_of_the_least_mixed_keys(spark):
     points = graph.keyed(spark.createDataFrame([(f"a:{i}",) for i in range(200)], "vertex string"))
     want = sorted((splitmix_of(node_key_of("a", str(i)) ^ 5), f"a:{i}") for i in range(200))[:17]
     assert {r["vertex"] for r in graph.vertex_sample(points.repartition(3), 17, 5).collect()} == {v for _, v in want}
+
+
+def test_equal_keys_are_refused(spark):
+    with pytest.raises(ValueError, match="a:1 and a:2"):
+        graph.with_distinct_keys(spark.createDataFrame([("a:1", 5), ("a:2", 5), ("a:3", 6)], "vertex string, node_key long"))
+
+
+def test_relations_of_dumps_become_edges(spark):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    tables = {
+        "by_artist": table([("1", "7")], "release_id string, artist_id string"),
+        "track_credited_on": table([("Bob", "1", "engineering"), ("Bob", "1", "design"), ("Eve", "2", "session"), ("No one", "3", "session")], "person_name string, release_id string, role_category string"),
+        "track_by_artist": table([("1", 0, "9")], "release_id string, track_ordinal int, artist_id string"),
+        "master_in_style": table([("4", "Dub")], "master_id string, style string"),
+    }
+    same = table([("Bob", "8"), ("Eve", "10"), ("Eve", "11")], "person_name string, artist_id string")
+    got = {tuple(r) for r in graph.edges_of(tables, same).collect()}
+    assert got == {("by_artist", "r:1", "a:7"), ("track_credited_on", "r:1", "a:8"), ("track_credited_on", "r:2", "a:10"), ("track_credited_on", "r:2", "a:11"), ("track_by_artist", "r:1", "a:9"), ("master_in_style", "m:4", "s:Dub")}

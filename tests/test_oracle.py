@@ -10,7 +10,7 @@ def test_query_matches_sql(name, same_as_sql):
     same_as_sql(registry.queries()[name], registry.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql()) - {"fastrp_embeddings"}))
+@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_query_runs(name, spark):
     assert registry.queries()[name](spark, SF).count() > 0
 
