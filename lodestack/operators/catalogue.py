@@ -139,3 +139,15 @@ def completeness(entities: DataFrame, entity_type: str, image: str | None, year:
     scored = [F.col(n) / F.col("total_count") for n, e in fields.items() if e and n != "with_image"]
     pct = F.when(F.col("total_count") > 0, sum(scored[1:], scored[0]) * 100 / len(scored)) if scored else F.lit(None).cast("double")
     return counted.select(F.lit(entity_type).alias("entity_type"), "total_count", *fields, pct.alias("completeness_pct"))
+
+
+def data_completeness(cat) -> DataFrame:
+    """completeness() of each kind of entity of a catalogue."""
+    tagged = cat.releases.join(cat.in_genre.select("release_id", F.lit(1).alias("g")).distinct(), "release_id", "left")
+    parts = [
+        completeness(tagged, "release", None, "year IS NOT NULL", None, "g IS NOT NULL"),
+        completeness(cat.masters, "master", None, "year IS NOT NULL", None, None),
+        completeness(cat.table("supplier"), "artist", "s_acctbal > 0", None, None, None),
+        completeness(cat.table("part"), "label", None, None, "p_size > 10", "p_type IS NOT NULL"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from collections.abc import Callable
+from dataclasses import asdict, dataclass
 from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators import atlas, catalogue, consent, graph, lifecycle, neighbours, rarity
+from lodestack.plans import status
 from lodestack.sources.lens import Catalogue
 from lodestack.sources.snapshots import SnapshotStore
 
@@ -21,8 +25,8 @@ SUMMARY_DAYS = 7
 class Jobs:
     """The scheduled computations over one catalogue and one store."""
 
-    def __init__(self, spark: SparkSession, catalogue_: Catalogue, store: SnapshotStore, now: datetime):
-        self.spark, self.c, self.store, self.now = spark, catalogue_, store, now
+    def __init__(self, spark: SparkSession, catalogue_: Catalogue, store: SnapshotStore, now: datetime, enrich: Callable[[], int] = lambda: 0):
+        self.spark, self.c, self.store, self.now, self.enrich = spark, catalogue_, store, now, enrich
         self.month = date(now.year, now.month, 1)
 
     def artist_centrality(self) -> None:
@@ -83,10 +87,11 @@ class Jobs:
             self.store.upsert("monthly_anniversaries", rows, ["master_id", "computed_year", "computed_month"], ["title", "artist_name", "anniversary"])
 
     def data_completeness(self) -> None:
-        self.store.publish({"data_completeness": catalogue.completeness(self.c.masters, "master", None, "year IS NOT NULL", None, None)})
+        self.store.publish({"data_completeness": catalogue.data_completeness(self.c)})
 
-    def community_enrichment(self) -> None:
-        """A side effect of the catalogue's owner; nothing to compute here."""
+    def community_enrichment(self) -> int:
+        """Asks the catalogue's owner to enrich entities; how many were. The caller gives the way to ask."""
+        return self.enrich()
 
     def release_rarity(self) -> None:
         c = self.c
@@ -113,36 +118,135 @@ class Jobs:
         return {name: recorded(self.store, name, getattr(self, name)) for name in names}
 
 
-def recorded(store: SnapshotStore, name: str, work: Callable[[], None]) -> str:
+def recorded(store: SnapshotStore, name: str, work: Callable[[], int | None]) -> str:
+    """Runs a computation with a line in the log before and after it; what it returns is its number of rows."""
     run = uuid.uuid4().hex
     store.log(name, "running", run)
     try:
-        work()
+        rows = work()
     except Exception as error:
         store.log(name, "failed", run, error=str(error)[:500])
         return str(error)
     except BaseException:
         store.log(name, "interrupted", run)
         raise
-    store.log(name, "completed", run)
+    store.log(name, "completed", run, rows=rows)
     return "completed"
 
 
-def similar_artists_job(store: SnapshotStore, edges: DataFrame, dump: str, config: graph.FastRP = graph.FastRP(), k: int = 50) -> int:
-    """Embeddings of a dump, exact neighbours, and the release of both, under one lock: DONE, BUSY if another run holds the lock, or
-    FAILED. What is there already isn't computed again, so a stopped run goes on."""
-    if not store.lock("similar-artists"):
-        return BUSY
+class Refused(ValueError):
+    """The job was asked for what it doesn't do."""
+
+
+@dataclass(frozen=True)
+class JobStatus:
+    """How a run of the nightly job ended. status: done, paused, skipped, checked, busy or failed."""
+
+    status: str
+    exit_code: int
+    model_version: str | None = None
+    published: bool = False
+    already_published: bool = False
+    blocks_done: int | None = None
+    blocks_total: int | None = None
+    eta_s: float | None = None
+    decision: str | None = None  # of the load check: run or skip
+    reason: str | None = None
+    error: str | None = None
+    elapsed_s: float = 0.0
+
+    def to_json(self) -> str:
+        return json.dumps({"kind": "similar_artists_status"} | asdict(self), sort_keys=True)
+
+
+def target(store: SnapshotStore, requested: str | None) -> str | None:
+    """The version of vectors to work on: the one asked for, or the only one that isn't published; None if all are."""
+    known, published = set(store.embedding_versions()), {r["model_version"] for r in store.published_versions().collect()}
+    if requested is not None:
+        if requested not in known | published:
+            raise Refused(f"no vectors of version {requested}")
+        return requested
+    waiting = sorted(known - published)
+    if len(waiting) > 1:
+        raise Refused(f"{len(waiting)} versions have no published release; name one")
+    return waiting[0] if waiting else None
+
+
+def stop_at(deadline: datetime | None, max_runtime_s: float | None, now: datetime) -> float | None:
+    """The earlier of the two ends as a reading of the monotonic clock."""
+    if deadline is not None and deadline.tzinfo is None:
+        raise Refused("a deadline needs a time zone")
+    if max_runtime_s is not None and max_runtime_s <= 0:
+        raise Refused("the longest run time must be positive")
+    left = None if deadline is None else (deadline - now).total_seconds()
+    ends = [x for x in (left, max_runtime_s) if x is not None]
+    return time.monotonic() + min(ends) if ends else None
+
+
+def load_check(store: SnapshotStore, latches: DataFrame | None, now: datetime) -> tuple[str, str | None]:
+    """("skip" or "run", why): a loader whose latch is open, or a run that writes vectors, means that the vectors may be half there. An
+    open latch past its bound doesn't block, and is named."""
+    rows = [] if latches is None else status.latches(latches.where("refreshed_at IS NULL AND open"), now.astimezone(timezone.utc).replace(tzinfo=None)).collect()  # a row for each loader and version
+    busy = [f"{r['loader']} {r['version']} is being loaded" for r in rows if r["blocks"]]
+    if store.folder.exists("locks/embeddings"):
+        busy.append("vectors are being written")
+    stale = [f"the latch of {r['loader']} {r['version']} is stale and ignored" for r in rows if not r["blocks"]]
+    return ("skip", "; ".join(busy)) if busy else ("run", "; ".join(stale) or None)
+
+
+def similar_artists(
+    store: SnapshotStore, requested: str | None = None, k: int = 50, latches: DataFrame | None = None, deadline: datetime | None = None,
+    max_runtime_s: float | None = None, check_only: bool = False, block: int = neighbours.BLOCK, now: datetime | None = None,
+) -> JobStatus:
+    """The exact neighbours of one version of vectors, computed in blocks that stay when the deadline comes, and their release once all
+    are there. Exit codes: DONE (also if a load is in progress or nothing waits), BUSY if another run holds the lock or the deadline
+    came, REFUSED for what it doesn't do, FAILED with the error otherwise."""
+    began, now = time.monotonic(), now or datetime.now(timezone.utc)
+    end = lambda how, code, **more: JobStatus(how, code, elapsed_s=round(time.monotonic() - began, 1), **more)
+    held = False
     try:
-        name, _ = store.write_embeddings(neighbours.half_precision(graph.fastrp(edges, config, ("a",)).withColumnRenamed("vertex", "id")), config.model_version, dump)
-        known = store.registry()
-        if known is not None and known.where((F.col("model_version") == name) & F.col("published_at").isNotNull()).take(1):
-            return DONE
-        vectors = store.read(f"embeddings/{uuid.uuid5(uuid.NAMESPACE_OID, name).hex}")
-        store.write_release(neighbours.neighbour_lists(neighbours.exact_top_k(vectors, k)), name, k)
+        limit = stop_at(deadline, max_runtime_s, now)
+        held = store.lock("similar-artists")
+        if not held:
+            return end("busy", BUSY)
+        name = target(store, requested)
+        if name is None:
+            return end("done", DONE)
+        if name in {r["model_version"] for r in store.published_versions().collect()}:
+            return end("done", DONE, model_version=name, already_published=True)
+        decision, reason = load_check(store, latches, now)
+        told = {"model_version": name, "decision": decision, "reason": reason}
+        if check_only or decision == "skip":
+            return end("checked" if check_only else "skipped", DONE, **told)
+        vectors = store.read(store.embedding_versions()[name])
+        spool = f"spool/{uuid.uuid5(uuid.NAMESPACE_OID, f'{name}:{k}:{block}').hex}"
+        total = max(1, -(-vectors.count() // block))
+        parts = lambda: sum(store.folder.exists(f"{spool}/part-{i}/_SUCCESS") for i in range(total))
+        before = parts()
+        pairs = neighbours.spooled_top_k(vectors, f"{store.folder.root}/{spool}", k, block, lambda: limit is not None and time.monotonic() >= limit)
+        if pairs is None:
+            done = parts()
+            eta = (time.monotonic() - began) / (done - before) * (total - done) if done > before else None
+            return end("paused", BUSY, blocks_done=done, blocks_total=total, eta_s=eta, **told)
+        store.write_release(neighbours.neighbour_lists(pairs), name, k)
         store.publish_release(name)
-        return DONE
-    except Exception:
-        return FAILED
+        store.folder.delete(spool)
+        return end("done", DONE, published=True, blocks_done=total, blocks_total=total, **told)
+    except Exception as error:
+        return end("failed", REFUSED if isinstance(error, Refused) else FAILED, error=f"{type(error).__name__}: {str(error)[:500]}")
+    finally:
+        if held:
+            store.unlock("similar-artists")
+
+
+def similar_artists_job(store: SnapshotStore, edges: DataFrame, dump: str, config: graph.FastRP = graph.FastRP(), k: int = 50) -> JobStatus:
+    """Embeddings of a dump, unless they are there, then similar_artists() of them. BUSY if another run writes vectors."""
+    if not store.lock("embeddings"):
+        return JobStatus("busy", BUSY)
+    try:
+        name, _ = store.write_embeddings(neighbours.half_precision(graph.fastrp(edges, config, ("a",)).withColumnRenamed("vertex", "id")), config.model_version, dump)
+    except Exception as error:
+        return JobStatus("failed", FAILED, error=f"{type(error).__name__}: {str(error)[:500]}")
     finally:
-        store.unlock("similar-artists")
+        store.unlock("embeddings")
+    return similar_artists(store, name, k)

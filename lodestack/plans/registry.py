@@ -91,16 +91,7 @@ def anniversaries(spark, sf):
 
 
 def data_completeness(spark, sf):
-    c = Catalogue(spark, sf)
-    tagged = c.releases.join(c.in_genre.select("release_id", F.lit(1).alias("g")).distinct(), "release_id", "left")
-    of = catalogue.completeness
-    parts = [
-        of(tagged, "release", None, "year IS NOT NULL", None, "g IS NOT NULL"),
-        of(c.masters, "master", None, "year IS NOT NULL", None, None),
-        of(c.table("supplier"), "artist", "s_acctbal > 0", None, None, None),
-        of(c.table("part"), "label", None, None, "p_size > 10", "p_type IS NOT NULL"),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return catalogue.data_completeness(Catalogue(spark, sf))
 
 
 def _signals(c: Catalogue) -> DataFrame:
@@ -258,8 +249,8 @@ def similar_lists(spark, sf):
 
 
 def _two_releases(spark, sf):
-    """The exact neighbours, and those of an index that lost every fifth pair."""
-    every = neighbours.exact_top_k(Catalogue(spark, sf).embeddings, 1 << 30)
+    """The first ten exact neighbours, and those of an index that lost every fifth pair of the first fifty."""
+    every = neighbours.exact_top_k(Catalogue(spark, sf).embeddings, 50)
     from pyspark.sql import Window
 
     lost = every.where((F.col("id").cast("int") + F.col("neighbour").cast("int")) % 5 != 0)

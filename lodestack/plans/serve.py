@@ -97,7 +97,7 @@ def style_atlas(store: SnapshotStore, rule: lifecycle.Rule = lifecycle.RULE) ->
     month = sectors.agg(F.max("month")).first()[0] if sectors is not None else None
     if month is None:
         return {"month": None, "rule": rule.describe(), "timeline": None, "genres": None, "styles": None, "ghosts": None, "masters": None}
-    last = lifecycle.last_complete_year(month)
+    last = month.year - 1
     counts = lambda t, key: _table(store, t, version).select(F.col(key).alias("style"), F.col("year").alias("period"), F.col("release_count").alias("n"))
     staged = lifecycle.stages(lifecycle.dense(counts("style_year_counts", "style"), last), rule)
     genre_staged = lifecycle.stages(lifecycle.dense(counts("genre_year_counts", "genre"), last), rule)

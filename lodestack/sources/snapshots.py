@@ -1,7 +1,7 @@
 """Snapshots of result tables: readers see a version whole or not at all.
 
-root/versions/<n> is a small text file that names the folder of every table in that version; it is created once and never changed, and the
-largest number is current. Tables that a publish doesn't touch keep the folder of the version before. Folders are written before the
+root/versions/<n> is a small text file that names the folder of every table in that version; it is renamed into place once, whole, and
+never changed, and the largest number is current. Tables that a publish doesn't touch keep the folder of the version before. Folders are written before the
 version that names them, so a failed or lost writer leaves folders that nobody names."""
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import json
 import uuid
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from lodestack.sources.storage import Folder
 
 
+#: Seconds for which a lock holds.
+LOCK_S = 86_400
+
+
 class ShortWalk(RuntimeError):
     """Fewer rows were written than were promised; nothing was published."""
 
@@ -93,18 +98,19 @@ class SnapshotStore:
         first gives what is never updated."""
         now = self.version()
         order = [F.col(ordinal)] if ordinal else [F.lit(0)]
-        by = Window.partitionBy(*keys).orderBy(*order)
-        last = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*[c.desc() for c in order]))).where("_n = 1").drop("_n")
-        first = rows.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
         fixed = [c for c in rows.columns if c not in keys and c not in update and c != ordinal]
-        merged = last.select(*keys, *update).join(first.select(*keys, *fixed), keys)
+        by = Window.partitionBy(*keys).orderBy(*order)
+        whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        merged = rows.withColumns({c: F.first(c).over(whole) for c in fixed} | {"_n": F.row_number().over(Window.partitionBy(*keys).orderBy(*[c.desc() for c in order]))})
+        merged = merged.where("_n = 1").select(*keys, *update, *fixed)
         old = self.read(table, now) if now else None
         if old is not None:
-            o = old.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in update + fixed], F.lit(True).alias("_was"))
-            joined = merged.withColumn("_is", F.lit(True)).join(o, keys, "full")
-            values = [F.when(F.col("_is"), F.col(c)).otherwise(F.col(f"_old_{c}")).alias(c) for c in update]
+            o = old.select(*[F.col(c).alias(f"_old_{c}") for c in keys + update + fixed], F.lit(True).alias("_was"))
+            same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_old_{k}")) for k in keys])  # null is a key like others
+            joined = merged.withColumn("_is", F.lit(True)).join(o, same, "full")
+            values = [F.when(F.col("_is"), F.col(c)).otherwise(F.col(f"_old_{c}")).alias(c) for c in keys + update]
             values += [F.when(F.col("_was"), F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c) for c in fixed]
-            merged = joined.select(*keys, *values)
+            merged = joined.select(*values)
         return self._commit({table: self._write(merged.select(*[c for c in rows.columns if c != ordinal]), table)}, now)
 
     def write_once(self, table: str, rows: Callable[[], DataFrame], column: str, value: date) -> int:
@@ -135,9 +141,23 @@ class SnapshotStore:
         table = f"embeddings/{uuid.uuid5(uuid.NAMESPACE_OID, name).hex}"
         if self.read(table) is not None:
             return name, False
-        self.publish({table: rows.withColumn("model_version", F.lit(name))})
+        known = self.embedding_versions()
+        listed = self.spark.createDataFrame([(v, p) for v, p in (known | {name: table}).items()], "model_version string, place string")
+        self.publish({table: rows.withColumn("model_version", F.lit(name)), "embedding_versions": listed})
         return name, True
 
+    def embedding_versions(self) -> dict[str, str]:
+        """{version: table} of all vectors, a row for each version."""
+        rows = self.read("embedding_versions")
+        return {} if rows is None else {r["model_version"]: r["place"] for r in rows.collect()}
+
+    def published_versions(self) -> DataFrame:
+        """(model_version, published_at, is_current) of the published releases, the latest first."""
+        rows = self.registry()
+        none = self.spark.createDataFrame([], "model_version string, published_at timestamp, is_current boolean")
+        kept = none if rows is None else rows.where("published_at IS NOT NULL").select(*none.columns)
+        return kept.orderBy(F.desc("published_at"), F.desc("model_version"))
+
     # releases of neighbour lists
 
     def registry(self) -> DataFrame | None:
@@ -218,8 +238,15 @@ class SnapshotStore:
 
     # one writer
 
-    def lock(self, name: str) -> bool:
-        return self.folder.create(f"locks/{name}", "held")
+    def lock(self, name: str, expires_s: float = LOCK_S) -> bool:
+        """Whether the lock is now this run's. A lock of more than expires_s seconds was left by a run that died and is taken over."""
+        at = f"locks/{name}"
+        if self.folder.create(at, "held"):
+            return True
+        if not self.folder.exists(at) or self.folder.age_s(at) <= expires_s:
+            return False
+        self.folder.publish(at, f"expired/{uuid.uuid4().hex}")
+        return self.folder.create(at, "held")
 
     def unlock(self, name: str) -> None:
         self.folder.delete(f"locks/{name}")

@@ -1,12 +1,13 @@
 import gzip
-from datetime import date, datetime
+from datetime import date, datetime, timezone
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestack.operators import consent
 from lodestack.operators.graph import FastRP
 from lodestack.plans import jobs, serve, status
-from lodestack.sources import dumps
+from lodestack.sources import dumps, snapshots
 from lodestack.sources.lens import Catalogue
 from lodestack.sources.snapshots import Conflict, Published, ShortWalk, SnapshotStore
 from lodestack.streaming import activity
@@ -142,7 +143,7 @@ def test_computations_publish_and_are_served(spark, store):
     rows, peak = serve.genre_trends(store, "STANDARD")
     assert peak in {r["decade"] for r in rows.collect()} and serve.genre_trends(store, "none")[1] is None
     assert serve.label_longevity(store, 5).count() == 5 and serve.label_longevity(store, 5, True).where("NOT is_placeholder").count() == 5
-    assert serve.release_rarity(store, 3).count() == 3 and serve.data_completeness(store).count() == 1
+    assert serve.release_rarity(store, 3).count() == 3 and serve.data_completeness(store).count() == 4
     days = serve.activity_summary(store, date(2024, 1, 27)).select("summary_date").distinct().count()
     assert 1 <= days <= 7 and serve.style_cotags(store, "Brand#11").count() >= 0
     found = serve.style_atlas(store)
@@ -163,11 +164,11 @@ def test_computations_publish_and_are_served(spark, store):
 def test_similar_artists_job(spark, store):
     edges = spark.createDataFrame([("x", f"r:{i}", f"a:{(i * j) % 9}") for i in range(1, 30) for j in (1, 2)], "relation string, src string, dst string")
     small = FastRP(dim=8)
-    assert jobs.similar_artists_job(store, edges, "d1", small, 3) == jobs.DONE
+    assert jobs.similar_artists_job(store, edges, "d1", small, 3).exit_code == jobs.DONE
     assert len(serve.similar_artists(store, "a:1").first()["neighbours"]) == 3
-    assert jobs.similar_artists_job(store, edges, "d1", small, 3) == jobs.DONE
+    assert jobs.similar_artists_job(store, edges, "d1", small, 3).exit_code == jobs.DONE
     store.lock("similar-artists")
-    assert jobs.similar_artists_job(store, edges, "d2", small, 3) == jobs.BUSY
+    assert jobs.similar_artists_job(store, edges, "d2", small, 3).exit_code == jobs.BUSY
 
 
 RELEASES = """<releases>
@@ -215,16 +216,78 @@ def test_stream_reaches_the_same_days_as_the_batch(spark, store, tmp_path):
     for i in range(3):
         whole.where(F.least(F.floor((F.dayofmonth("occurred_at") - 1) / 10), F.lit(2)) == i).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
     stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    activity.publish_daily(stream, "analytics", store, str(tmp_path / "cp")).awaitTermination()
-    got = {(r["summary_date"], r["dimension_key"]): r["record_count"] for r in store.read("activity_daily").collect()}
-    batch = whole.where(F.array_contains("consent_purposes", "analytics")).groupBy(F.to_date("occurred_at").alias("d"), "event_type").count()
-    assert got == {(r["d"], r["event_type"]): r["count"] for r in batch.collect()}
+    granted = lambda: consent.eligible_subjects(c.user_subjects, c.grants, ["analytics", "training"], datetime(2024, 1, 31))
+    activity.publish_daily(stream, ["analytics", "training"], granted, store, str(tmp_path / "cp")).awaitTermination()
+    got = {(r["summary_date"], r["dimension_key"]): (r["record_count"], r["subject_count"]) for r in store.read("activity_daily").collect()}
+    agreed = whole.where(F.array_contains("consent_purposes", "analytics") & F.array_contains("consent_purposes", "training")).join(granted(), "subject_id", "left_semi")
+    batch = agreed.groupBy(F.to_date("occurred_at").alias("d"), "event_type").agg(F.count("*").alias("n"), F.countDistinct("subject_id").alias("s"))
+    assert got and got == {(r["d"], r["event_type"]): (r["n"], r["s"]) for r in batch.collect()}
     again = activity.distinct_events(spark.readStream.schema(whole.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in")))
     q = again.writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == whole.count()
 
 
+def test_stream_counts_what_was_agreed_and_is_granted(spark, store, tmp_path):
+    """All four cases of snapshot and grant, a revocation between two batches, and a delivery that is repeated."""
+    row = "event_id long, event_type string, subject_id long, occurred_at timestamp_ntz, consent_purposes array<string>"
+    put = lambda n, rows: spark.createDataFrame([(i, "view", s, datetime(2024, 1, d), p) for i, s, d, p in rows], row).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    table = lambda ids: spark.createDataFrame([(i,) for i in ids], "subject_id long")
+    granted = [1, 2, 5]
+
+    def run():
+        stream = spark.readStream.schema(spark.createDataFrame([], row).schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        activity.publish_daily(stream, ["analytics"], lambda: table(granted), store, str(tmp_path / "cp")).awaitTermination()
+        return {r["summary_date"].day: (r["record_count"], r["subject_count"]) for r in store.read("activity_daily").collect()}
+
+    put(0, [(1, 1, 3, ["analytics"]), (2, 2, 3, []), (3, 3, 3, ["analytics"]), (4, 4, 3, ["training"]), (5, 5, 4, ["analytics"])])
+    assert run() == {3: (1, 1), 4: (1, 1)}
+    granted[:] = [1, 2]  # 5 revoked
+    put(1, [(1, 1, 3, ["analytics"]), (6, 1, 3, ["analytics"]), (7, 2, 4, ["analytics"])])
+    assert run() == {3: (2, 1), 4: (1, 1)}
+
+
+def test_versions_are_seen_whole_and_locks_expire(spark, store):
+    store.publish({"t": spark.range(3)})
+    store.folder._fresh("drafts/half", "{")  # a writer that died before its rename
+    store.folder._fresh("claims/versions/00000002")
+    assert store.version() == 1 and store.read("t").count() == 3
+    with pytest.raises(snapshots.Conflict):
+        store.publish({"t": spark.range(4)})
+    assert store.folder.create("versions/00000002", "{}", claim_s=-1) and not store.folder.exists("claims/versions/00000002")
+    assert store.lock("l") and not store.lock("l") and store.lock("l", expires_s=-1) and not store.lock("l")
+
+
+def test_upsert_keeps_null_keys(spark, store):
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, v int, first int")
+    store.upsert("t", rows((None, 1, 1), ("a", 1, 1)), ["k"], ["v"])
+    store.upsert("t", rows((None, 2, 2), ("b", 2, 2)), ["k"], ["v"])
+    assert {tuple(r) for r in store.read("t").collect()} == {(None, 2, 1), ("a", 1, 1), ("b", 2, 2)}
+
+
+def test_nightly_job_resolves_checks_pauses_and_resumes(spark, store):
+    vectors = lambda n: spark.createDataFrame([(f"a{i}", [float((i * j) % 7 + 1) for j in range(4)]) for i in range(n)], "id string, embedding array<float>")
+    assert jobs.similar_artists(store).status == "done"
+    one, _ = store.write_embeddings(vectors(30), "m1", "d1")
+    night = datetime(2024, 1, 2, tzinfo=timezone.utc)
+    latch = lambda created: spark.createDataFrame([("x", "1", True, created, None)], "loader string, version string, open boolean, c string, r string").select(
+        "loader", "version", "open", F.col("c").cast("timestamp_ntz").alias("created_at"), F.col("r").cast("timestamp_ntz").alias("refreshed_at"))
+    got = jobs.similar_artists(store, latches=latch("2024-01-01 12:00"), now=night)
+    assert (got.status, got.exit_code, got.decision) == ("skipped", jobs.DONE, "skip") and "being loaded" in got.reason
+    got = jobs.similar_artists(store, latches=latch("2023-12-01"), check_only=True, now=night)
+    assert (got.status, got.decision) == ("checked", "run") and "stale" in got.reason
+    got = jobs.similar_artists(store, k=3, block=10, deadline=night, now=night)
+    assert (got.status, got.exit_code, got.blocks_done, got.blocks_total) == ("paused", jobs.BUSY, 0, 3)
+    assert jobs.similar_artists(store, deadline=datetime(2024, 1, 2)).exit_code == jobs.REFUSED
+    assert jobs.similar_artists(store, "other").exit_code == jobs.REFUSED and jobs.similar_artists(store, max_runtime_s=0).exit_code == jobs.REFUSED
+    store.write_embeddings(vectors(5), "m2", "d1")
+    assert "2 versions" in jobs.similar_artists(store).error
+    got = jobs.similar_artists(store, one, k=3, block=10)
+    assert got.status == "done" and got.published and '"exit_code": 0' in got.to_json()
+    assert jobs.similar_artists(store, one).already_published
+    assert [r["model_version"] for r in store.published_versions().collect()] == [one]
+
+
 def test_config_falls_back():
     from lodestack.plans.config import Config
 
