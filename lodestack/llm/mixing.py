@@ -9,8 +9,9 @@ from lodestack.llm.common import bounded_broadcast, n_words, stored
 
 #: Weights of the sources, in code point order of their names and repeating.
 WEIGHTS = (5, 2, 1)
-#: Ranks of a source are cut into so many cells; only the cell at the sample's edge is ordered row by row.
-CELLS = 1 << 16
+#: Ranks of a source are cut into so many cells, and the cell at the sample's edge into so many again; only the one of these at the
+#: edge is ordered row by row.
+CELLS = 4096
 #: So many rows of the plan, one for each source and number of digits, are broadcast at most; more are joined by a shuffle.
 MOST_PLANNED = 200_000
 
@@ -66,7 +67,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_copies: int =
     the rest is the document's own inclusion probability p of one copy more. Documents are ranked by u/(1-u) over p/(1-p),
     with u a hash of the id, and taken in that order until the words still due are reached; a document is taken if at least
     half of it is due, so a source misses its target by half a document at most. Ranks are cut into cells, whose words are
-    summed first: only one cell of each source is ordered, however large the source. Reruns agree.
+    summed first, and one cell into finer ones: only one of these is ordered, however large the source. Reruns agree.
 
     Null and empty texts have size 0 and are taken 0 words of; a null source is a source of its own, last in order. A null id's
     u is a hash of its text; ties in rank are ordered by id and size, and repeated rows are interchangeable. An empty table gives
@@ -92,9 +93,10 @@ def _placed(docs: DataFrame, seed: str) -> DataFrame:
 
 
 def _with_rank(rows: DataFrame) -> DataFrame:
-    """Adds odds, a document's random odds over its inclusion odds, and its cell; both null where it can't be taken once more."""
+    """Adds odds, a document's random odds over its inclusion odds, and its cell of the finer kind; both null where it can't be taken
+    once more."""
     odds = F.when(F.col("p") > 0, F.col("_u") / (1 - F.col("_u")) / (F.col("p") / (1 - F.col("p"))))
-    return rows.withColumn("odds", odds).withColumn("_cell", F.least(F.floor(F.col("odds") / (1 + F.col("odds")) * CELLS), F.lit(CELLS - 1)))
+    return rows.withColumn("odds", odds).withColumn("_cell", F.least(F.floor(F.col("odds") / (1 + F.col("odds")) * CELLS**2), F.lit(CELLS**2 - 1)))
 
 
 def _plan(base: DataFrame, weights: tuple[int, ...], most_copies: int) -> tuple[DataFrame, DataFrame]:
@@ -111,11 +113,16 @@ def _plan(base: DataFrame, weights: tuple[int, ...], most_copies: int) -> tuple[
     plan = stored(plan.select(F.col("key").alias("_key"), "_digits", "source_size", "target", "words", "whole", "p"), "plan")
     due = plan.groupBy("_key").agg((F.first("target") - F.sum(F.col("whole") * F.col("words"))).alias("due"))
     ranked = _with_rank(base.join(bounded_broadcast(plan.select("_key", "_digits", "p"), MOST_PLANNED), ["_key", "_digits"]))
-    cells = ranked.where("_cell IS NOT NULL").groupBy("_key", "_cell").agg(F.sum("_size").alias("words"))
-    upto = Window.partitionBy("_key").orderBy("_cell")
-    cells = cells.withColumn("before", F.sum("words").over(upto) - F.col("words"))
-    edges = cells.join(due, "_key").where("before < due").groupBy("_key", "due").agg(F.max("_cell").alias("edge"), F.max("before").alias("before"))
-    return plan.drop("words"), stored(edges, "edges")
+    edges = due.withColumn("before", F.lit(0).cast("long"))
+    for inside in (False, True):  # the edge among the coarse cells, then among the finer ones inside
+        cells = ranked.where("_cell IS NOT NULL").withColumn("_cut", F.col("_cell") if inside else F.floor(F.col("_cell") / CELLS))
+        if inside:
+            cells = cells.join(bounded_broadcast(edges.select("_key", "edge"), MOST_PLANNED), "_key").where(F.floor(F.col("_cell") / CELLS) == F.col("edge"))
+        cells = cells.groupBy("_key", "_cut").agg(F.sum("_size").alias("words"))
+        cells = cells.withColumn("upto", F.sum("words").over(Window.partitionBy("_key").orderBy("_cut")) - F.col("words"))
+        cells = cells.join(edges, "_key").withColumn("upto", F.col("upto") + F.col("before")).where("upto < due")
+        edges = stored(cells.groupBy("_key", "due").agg(F.max("_cut").alias("edge"), F.max("upto").alias("before")), "edges")
+    return plan.drop("words"), edges
 
 
 def _decided(rows: DataFrame, plan: DataFrame, edges: DataFrame) -> DataFrame:
