@@ -57,7 +57,7 @@ class Jobs:
             last = old.where(F.col("month") < F.lit(month)).agg(F.max("month")).first()[0]
             rows = old.where(F.col("month") == F.lit(last)).collect() if last else []  # one row a genre
             before = [atlas.Sector(r["genre"], r["ring_order"], r["sector_start"], r["sector_end"]) for r in rows]
-        shares = catalogue.style_genre_shares(self.c.in_style, self.c.in_genre)
+        shares = graph.kept(catalogue.style_genre_shares(self.c.in_style, self.c.in_genre), "shares")  # a layout reads them several times
         years = catalogue.style_year_counts(self.c.releases, self.c.in_style, self.c.derived_from)
         grid = lifecycle.dense(years.select("style", F.col("year").alias("period"), F.col("release_count").alias("n")), month.year - 1)
         sectors, nodes, _ = atlas.layout(catalogue.style_parents(shares), shares, lifecycle.emergence(lifecycle.stages(grid)), before)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.operators import atlas, catalogue, consent, graph, lifecycle, neighbours, rarity
-from lodestack.plans import catalogue_sql, status
+from lodestack.plans import catalogue_sql, served_sql, status
 from lodestack.sources.lens import Catalogue
 
 NOW = datetime(2024, 1, 31)
@@ -174,25 +174,30 @@ def atlas_ranks(spark, sf):
     return atlas.ranked(_parents(c), _shares(c), style_emergence(spark, sf), atlas.ring_table(spark, names))
 
 
+def _drawn(c: Catalogue, emergence: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Parents, shares and emergence of a layout, which reads them several times; shares are a row for each style and genre."""
+    shares = graph.kept(_shares(c), "shares")
+    return catalogue.style_parents(shares, FLOOR), shares, graph.kept(emergence, "emergence")
+
+
 def atlas_layout(spark, sf):
-    c = Catalogue(spark, sf)
-    return atlas.layout(_parents(c), _shares(c), style_emergence(spark, sf))[1]
+    return atlas.layout(*_drawn(Catalogue(spark, sf), style_emergence(spark, sf)))[1]
 
 
 def atlas_sectors(spark, sf):
-    c = Catalogue(spark, sf)
-    return atlas.layout(_parents(c), _shares(c), style_emergence(spark, sf))[0]
+    return atlas.layout(*_drawn(Catalogue(spark, sf), style_emergence(spark, sf)))[0]
 
 
 def atlas_movement(spark, sf):
     """Against a layout of all shares at the production floor."""
-    c = Catalogue(spark, sf)
-    before = atlas.layout(catalogue.style_parents(_shares(c)), _shares(c), style_emergence(spark, sf))[1]
-    return atlas.movement(before, atlas_layout(spark, sf))
+    parents, shares, emergence = _drawn(Catalogue(spark, sf), style_emergence(spark, sf))
+    before = atlas.layout(catalogue.style_parents(shares), shares, emergence)[1]
+    return atlas.movement(graph.kept(before, "layout"), graph.kept(atlas.layout(parents, shares, emergence)[1], "layout"))
 
 
 def atlas_hull_check(spark, sf):
-    return atlas.hull_check(atlas_layout(spark, sf), _parents(Catalogue(spark, sf)))
+    parents, shares, emergence = _drawn(Catalogue(spark, sf), style_emergence(spark, sf))
+    return atlas.hull_check(graph.kept(atlas.layout(parents, shares, emergence)[1], "layout"), parents)
 
 
 def credited_artist_edges(spark, sf):
@@ -315,8 +320,10 @@ QUERIES = (
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    from lodestack.plans import served  # which builds on the queries above
+
+    return {f.__name__: f for f in (*QUERIES, *served.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return catalogue_sql.oracle_sql()
+    return catalogue_sql.oracle_sql() | served_sql.oracle_sql()
