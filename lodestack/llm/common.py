@@ -89,6 +89,20 @@ def bounded_broadcast(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+#: A key of more than one row in so many is joined apart, so fewer keys than this are.
+HOT_SHARE = 1000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with table, which has a row for each key, where few keys may have most of the rows: fewer than HOT_SHARE keys can
+    have more than their share, so their rows of table are broadcast and meet rows where these lie; all others are shuffled. rows is
+    read three times: a stored table, or columns of one. Null keys match nothing."""
+    share = rows.count() // HOT_SHARE
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where((F.col("_n") > share) & F.col(key).isNotNull()).select(key)
+    near = rows.join(F.broadcast(table.join(F.broadcast(hot), key, "left_semi")), key)
+    return near.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
+
+
 #: Bits of the filter behind without(); its table has a row for 64 of them, so what is broadcast is bounded.
 FILTER_BITS = 1 << 24
 

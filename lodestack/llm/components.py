@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import discard, stored
+from lodestack.llm.common import discard, spread_join, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over (u, v) with u > v. The minimum of a node is a partial aggregate, and it is joined
-    back rather than gathered, so a hub's neighbours never meet in one row or task (a skewed join is split)."""
+    """One star step over a stored table of (u, v) with u > v. The minimum of a node is a partial aggregate, and it is joined
+    back rather than gathered, a hub's to the places where its edges lie, so a hub's neighbours never meet in one row or task."""
     if large:
         around = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Neighbours above u go to the least of u's neighbourhood.
         near = edges.select(F.col("v").alias("u"), F.col("u").alias("w"))
-        moved = near.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
+        moved = spread_join(near, least, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = spread_join(edges, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         moved = moved.union(least.select("u", F.col("m").alias("v")))
     return moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
@@ -38,9 +38,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if new == mark or not new[0]:
             break
         mark = new
-        step = stored(_star(_star(now, True), False), "edges")
-        discard(now)
-        now = step
+        for large in (True, False):
+            step = stored(_star(now, large), "edges")
+            discard(now)
+            now = step
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

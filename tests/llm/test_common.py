@@ -1,4 +1,4 @@
-from lodestack.llm.common import without
+from lodestack.llm.common import spread_join, without
 
 from .common import odd, table
 
@@ -13,3 +13,12 @@ def test_without_is_an_anti_join(spark, monkeypatch):
         got, want = without(docs, "doc_id", ids), docs.join(ids, "doc_id", "left_anti")
         assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, want.select(docs.columns).collect()))
     assert without(docs, "doc_id", ids.limit(0)).count() == docs.count() and without(docs.limit(0), "doc_id", ids).count() == 0
+
+
+def test_spread_join_is_an_inner_join(spark):
+    rows = [(0, i) for i in range(3000)] + [(i % 700, i) for i in range(3000, 6000)] + [(None, 1), (10_000, 2)]
+    left = spark.createDataFrame(rows, "k long, v long")
+    right = spark.createDataFrame([(i, i * i) for i in range(600)], "k long, w long")
+    for some in (left, left.limit(5), left.where("false")):
+        want = sorted(tuple(r) for r in some.join(right, "k").select("k", "v", "w").collect())
+        assert sorted(tuple(r) for r in spread_join(some, right, "k").select("k", "v", "w").collect()) == want
