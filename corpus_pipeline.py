@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestack.llm import decontaminate, mixing, ngram_join, quality, sharding
-from lodestack.llm.common import read_table, small_batches, stored, without
+from lodestack.llm.common import discard, read_table, scratch, small_batches, stored, without
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     that id, one. A row without an id is a document of its own, which comes after all that have one. Documents without words
     stay."""
     docs, back = named(docs)
-    found = stored(ngram_join.join(docs, ngram_join.Settings(words=5, percent=80)).select("doc_id", "n_shingles", "component_id"), "components")
+    with scratch(spark) as keep:
+        found = keep(ngram_join.join(docs, ngram_join.Settings(words=5, percent=80)).select("doc_id", "n_shingles", "component_id"), "components")
     left = without(docs, "doc_id", found.where("doc_id <> component_id").select("doc_id").distinct())
     twice = stored(found.where("doc_id IS NOT NULL AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if not twice.take(1):
@@ -45,8 +46,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; a row without an id is judged by its own text."""
     docs, back = named(docs)
-    pairs = decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark"))
-    gone = stored(pairs.select("doc_id").distinct(), "contaminated")
+    with scratch(spark) as keep:
+        gone = keep(decontaminate.contaminated(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
     return back(without(docs, "doc_id", gone))
 
 
@@ -75,6 +76,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order over documents; each one's rows are written and reread, so a lost executor costs one stage."""
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+    for at, (name, stage) in enumerate(STAGES[:-1]):
+        before = docs
+        with scratch(spark) as keep:
+            docs = keep(stage(spark, docs, sf_dir), name)
+        if at:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestack.llm.common import fold, stored
+from lodestack.llm.common import fold, scratch, stored
 
 #: What is counted in a text: words, bytes, the longest word, then what has a share of the bytes and what has a share of the words.
 OF_BYTES = ("alpha", "digit", "space", "punct", "upper")
@@ -226,7 +226,8 @@ def accepted(docs: DataFrame, labels: DataFrame, folds: int = 5, settings: Setti
     its own text, so nulls, repeated ids and ties need no join. Learns as classify does."""
     # The statistics are joined with the labels, not the texts, though that reads the texts once more.
     common = common_words(docs, folds)
-    model = learn(stored(features(docs, common), "features"), labels, folds, settings)
+    with scratch(docs.sparkSession):  # the model is on the driver
+        model = learn(stored(features(docs, common), "features"), labels, folds, settings)
     place, text = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,13 @@
+import os
+
 import corpus_pipeline as p
-from lodestack.llm import decontaminate, mixing, ngram_join, quality
+from lodestack.llm import common, decontaminate, mixing, ngram_join, quality
 from lodestack.llm.common import read_table
 
 from ..conftest import SF
-from .common import odd, table
+from .common import odd, table, words
+
+real = common.scratch_path
 
 
 def ids(df):
@@ -59,3 +63,12 @@ def test_rows_without_an_id_are_documents_of_their_own(spark):
     single = p.keep_one_of_each(spark, left, SF)
     assert texts(single) == sorted([("None", clean[i]) for i in (0, 2, 3)] + [("7", clean[1])])
     assert single.schema == left.schema
+
+
+def test_a_stage_leaves_only_what_its_result_reads(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(common, "scratch_path", lambda s, name: made.append((name, path := real(s, name))) or path)
+    rows = table(spark, [(i, words(60, i % 40), "en", "a") for i in range(80)])
+    left = p.keep_one_of_each(spark, rows, SF)
+    here = [name for name, path in made if os.path.exists(path.removeprefix("file://"))]
+    assert ids(left) == list(range(40)) and sorted(here) == ["bits", "components", "twice"] and len(made) > 10
