@@ -21,11 +21,38 @@ ROLES_KEPT = ("production", "engineering", "session", "other")
 KINDS = {"artist": "a", "release": "r", "label": "l", "master": "m", "genre": "g", "style": "s"}
 
 
+def artist_groups(same_as: DataFrame) -> DataFrame:
+    """(person_name, artist_id, group), written: artists with the same set of names are a group, named by its least artist. Groups are
+    disjoint, so a release that names a group has an edge to each of its artists, and edges to groups count those without listing them."""
+    names = same_as.where("person_name IS NOT NULL AND artist_id IS NOT NULL").groupBy("artist_id").agg(F.array_sort(F.collect_set("person_name")).alias("names"))
+    lead = names.groupBy("names").agg(F.min("artist_id").alias("group"))
+    return kept(names.join(lead, "names").select(F.explode("names").alias("person_name"), "artist_id", "group"), "groups")
+
+
+#: Names and members of groups that are broadcast, at most.
+MOST_NAMES = 500_000
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(MOST_NAMES + 1).count() <= MOST_NAMES else df
+
+
+def members_of(groups: DataFrame) -> DataFrame:
+    """(group, artist_id), each artist once."""
+    return groups.select("group", "artist_id").distinct()
+
+
+def credited_groups(credits: DataFrame, groups: DataFrame) -> DataFrame:
+    """(release_id, group), distinct: groups of artist_groups that a credit in a kept category names."""
+    kept_ = credits.where(F.col("role_category").isin(*ROLES_KEPT)).select("person_name", "release_id")
+    return kept_.join(_small(groups.select("person_name", "group").distinct()), "person_name").select("release_id", "group").distinct()
+
+
 def credited_artists(credits: DataFrame, same_as: DataFrame) -> DataFrame:
-    """(release_id, artist_id) of credits in a kept category: a name that stands for several artists gives an edge to each, one
-    that stands for none gives none. Credits are made distinct before they fan out."""
-    kept = credits.where(F.col("role_category").isin(*ROLES_KEPT)).select("person_name", "release_id").distinct()
-    return kept.join(same_as, "person_name").select("release_id", "artist_id")
+    """(release_id, artist_id), distinct, of credits in a kept category: a name that stands for several artists gives an edge to each,
+    one that stands for none gives none. Edges fan out last, from distinct edges to groups, so they are never shuffled."""
+    groups = artist_groups(same_as)
+    return credited_groups(credits, groups).join(_small(members_of(groups)), "group").select("release_id", "artist_id")
 
 
 def discovered_releases(credits: DataFrame) -> DataFrame:
@@ -71,6 +98,121 @@ def catalogue_releases(cat) -> DataFrame:
     return found.distinct().select(F.concat(F.lit(KINDS["release"] + ":"), F.col("release_id").cast("string")).alias("vertex"))
 
 
+class Relations:
+    """The relations of a catalogue as distinct edges, in the tables' own types, with those to credited artists as edges to groups."""
+
+    def __init__(self, tables: dict[str, DataFrame], same_as: DataFrame):
+        self.groups = artist_groups(same_as)
+        self.members = members_of(self.groups)
+        self.plain: dict[str, tuple[str, str, DataFrame]] = {}
+        self.credited: dict[str, DataFrame] = {}
+        for name, src, src_kind, dst, dst_kind in RELATIONS:
+            if name in ("credited_on", "track_credited_on") and name in tables:
+                self.credited[name] = credited_groups(tables[name].where(F.col(src).isNotNull()), self.groups).withColumnRenamed(src, "src")
+            elif name in tables:
+                rows = tables[name].select(F.col(src).alias("src"), F.col(dst).alias("dst"))
+                self.plain[name] = KINDS[src_kind], KINDS[dst_kind], rows.where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+
+    def report(self) -> DataFrame:
+        """See edge_report; sources are counted with their edges, by one partial sum."""
+        sizes = _small(self.members.groupBy("group").agg(F.count("*").alias("n")))
+        found = []
+        for name, (_, _, pairs) in self.plain.items():
+            found.append((name, pairs.groupBy("src").agg(F.count("*").alias("n")), pairs.select("dst").distinct().agg(F.count("*").alias("targets"))))
+        for name, pairs in self.credited.items():
+            sized = pairs.join(sizes, "group")
+            found.append((name, sized.groupBy("src").agg(F.sum("n").alias("n")), pairs.select("group").distinct().join(sizes, "group").agg(F.sum("n").alias("targets"))))
+        rows = [
+            near.agg(F.lit(name).alias("relation"), F.sum("n").alias("edges"), F.count("*").alias("sources")).where("sources > 0").crossJoin(F.broadcast(far))
+            for name, near, far in found
+        ]
+        return reduce(DataFrame.unionByName, rows)
+
+    def ends(self) -> dict[str, DataFrame]:
+        """{kind: (key)} of all ends of edges, keys repeated."""
+        out: dict[str, list[DataFrame]] = {}
+        for src_kind, dst_kind, pairs in self.plain.values():
+            out.setdefault(src_kind, []).append(pairs.select(F.col("src").alias("key")))
+            out.setdefault(dst_kind, []).append(pairs.select(F.col("dst").alias("key")))
+        for pairs in self.credited.values():
+            out.setdefault(KINDS["release"], []).append(pairs.select(F.col("src").alias("key")))
+            out.setdefault(KINDS["artist"], []).append(pairs.select("group").distinct().join(self.members, "group").select(F.col("artist_id").alias("key")))
+        return {kind: reduce(DataFrame.union, rows) for kind, rows in out.items()}
+
+    def vertices(self, known: DataFrame | None = None) -> DataFrame:
+        """See vertices()."""
+        all_ = [rows.distinct().select(_vertex(kind, "key").alias("vertex"), F.lit(kind).alias("kind")) for kind, rows in self.ends().items()]
+        if known is not None:
+            all_.append(known.select("vertex", F.substring_index("vertex", ":", 1).alias("kind")))
+        found = reduce(DataFrame.union, all_)
+        return found if known is None else found.distinct()
+
+    def merged(self) -> tuple[list[tuple[str, str, DataFrame]], DataFrame | None]:
+        """Edges in one direction, parallel ones as one: by kinds of ends (src, dst), and (src, group) of credits. Edges from a release to
+        an artist of a group that it names stand in the latter alone."""
+        kinds: dict[tuple[str, str], list[DataFrame]] = {}
+        for src_kind, dst_kind, pairs in self.plain.values():
+            kinds.setdefault((src_kind, dst_kind), []).append(pairs)
+        plain = {k: rows[0] if len(rows) == 1 else reduce(DataFrame.union, rows).distinct() for k, rows in kinds.items()}
+        if not self.credited:
+            return [(*k, rows) for k, rows in plain.items()], None
+        named = reduce(DataFrame.unionByName, self.credited.values())
+        named = named if len(self.credited) == 1 else named.distinct()
+        own = KINDS["release"], KINDS["artist"]
+        if own in plain:
+            direct = plain[own].join(_small(self.members.withColumnRenamed("artist_id", "dst")), "dst", "left")
+            plain[own] = direct.join(named, ["src", "group"], "left_anti").select("src", "dst")
+        return [(*k, rows) for k, rows in plain.items()], named
+
+    def degrees_by_kind(self) -> dict[str, DataFrame]:
+        """{kind: (key, degree)}."""
+        plain, named = self.merged()
+        out: dict[str, list[DataFrame]] = {}
+        for src_kind, dst_kind, pairs in plain:
+            for kind, end in ((src_kind, "src"), (dst_kind, "dst")):
+                out.setdefault(kind, []).append(pairs.groupBy(F.col(end).alias("key")).agg(F.count("*").alias("degree")))
+        if named is not None:
+            sizes = _small(self.members.groupBy("group").agg(F.count("*").alias("n")))
+            out.setdefault(KINDS["release"], []).append(named.join(sizes, "group").groupBy(F.col("src").alias("key")).agg(F.sum("n").alias("degree")))
+            times = named.groupBy("group").agg(F.count("*").alias("degree"))
+            out.setdefault(KINDS["artist"], []).append(times.join(self.members, "group").select(F.col("artist_id").alias("key"), "degree"))
+        return {kind: reduce(DataFrame.union, rows).groupBy("key").agg(F.sum("degree").alias("degree")) for kind, rows in out.items()}
+
+    def degrees(self) -> DataFrame:
+        """See degrees()."""
+        return reduce(DataFrame.union, [rows.select(_vertex(kind, "key").alias("vertex"), "degree") for kind, rows in self.degrees_by_kind().items()])
+
+    def transitions(self) -> DataFrame:
+        """See transitions(); weights join the edges to groups and the groups' members, which fan out last."""
+        weight = {k: kept(rows.select("key", (1 / F.col("degree")).alias("weight")), "weights") for k, rows in self.degrees_by_kind().items()}
+        of = lambda kind, end: weight[kind].select(F.col("key").alias(end), F.col("weight").alias(f"{end}_weight"))
+        plain, named = self.merged()
+        rows = []
+        for src_kind, dst_kind, pairs in plain:
+            both = pairs.join(of(src_kind, "src"), "src").join(of(dst_kind, "dst"), "dst")
+            rows.append(_both_ways(both, src_kind, dst_kind))
+        if named is not None:
+            r, a = KINDS["release"], KINDS["artist"]
+            members = kept(self.members.withColumnRenamed("artist_id", "dst").join(of(a, "dst"), "dst"), "members")
+            rows.append(_both_ways(named.join(of(r, "src"), "src").join(_small(members), "group"), r, a))
+        return reduce(DataFrame.unionByName, rows)
+
+
+def _vertex(kind: str, column: str):
+    return F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
+
+
+def _both_ways(rows: DataFrame, src_kind: str, dst_kind: str) -> DataFrame:
+    """(src, dst, weight) in both directions of rows(src, dst, src_weight, dst_weight)."""
+    rows = rows.select(_vertex(src_kind, "src").alias("src"), _vertex(dst_kind, "dst").alias("dst"), "src_weight", "dst_weight")
+    way = lambda x, y: F.struct(F.col(x).alias("src"), F.col(y).alias("dst"), F.col(f"{x}_weight").alias("weight"))
+    return rows.select(F.inline(F.array(way("src", "dst"), way("dst", "src"))))
+
+
+def relations_of(cat) -> Relations:
+    return Relations({name: getattr(cat, name) for name, *_ in RELATIONS}, cat.same_as)
+
+
 def edge_report(edges: DataFrame) -> DataFrame:
     """(relation, edges, sources, targets): distinct edges and ends of each relation."""
     return edges.distinct().groupBy("relation").agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))

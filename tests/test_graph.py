@@ -4,6 +4,9 @@ import pytest
 from lodestack.functions.hashing import node_key_of, splitmix_of
 from lodestack.operators import graph
 from lodestack.operators.graph import FastRP
+from lodestack.plans import registry
+
+from .conftest import SF
 
 
 def test_node_keys_and_projection_are_pinned():
@@ -97,3 +100,48 @@ def test_relations_of_dumps_become_edges(spark):
     same = table([("Bob", "8"), ("Eve", "10"), ("Eve", "11")], "person_name string, artist_id string")
     got = {tuple(r) for r in graph.edges_of(tables, same).collect()}
     assert got == {("by_artist", "r:1", "a:7"), ("track_credited_on", "r:1", "a:8"), ("track_credited_on", "r:2", "a:10"), ("track_credited_on", "r:2", "a:11"), ("track_by_artist", "r:1", "a:9"), ("master_in_style", "m:4", "s:Dub")}
+
+
+@pytest.fixture
+def shared_names(spark):
+    """Tables in which names share artists, artists have several names, and the same edge comes by several relations."""
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    credits = [(name, release, kind) for release in range(1, 9) for name, kind in (("A", "session"), ("B", "design"), ("BCD"[release % 3], "production"), ("A", "other"))]
+    tables = {
+        "by_artist": table([(1, 10), (1, 10), (2, 99), (3, 12), (9, 99), (None, 1), (4, None)], "release_id long, artist_id long"),
+        "in_genre": table([(1, "x"), (1, "x"), (2, "y")], "release_id long, genre string"),
+        "master_by_artist": table([(1, 10), (5, 14)], "master_id long, artist_id long"),
+        "credited_on": table([*credits, ("Z", 7, "other"), (None, 7, "other"), ("A", None, "other")], "person_name string, release_id long, role_category string"),
+        "track_credited_on": table([("D", 20, "engineering"), ("A", 1, "session")], "person_name string, release_id long, role_category string"),
+        "track_by_artist": table([(1, 0, 10), (20, 1, 13), (20, 2, 77)], "release_id long, track_ordinal int, artist_id long"),
+    }
+    same = table([("A", 10), ("A", 11), ("B", 11), ("B", 12), ("C", 12), ("C", 11), ("D", 13), ("D", 14), ("D", 15)], "person_name string, artist_id long")
+    return tables, same
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("small", [500_000, 0])
+def test_edges_to_groups_give_what_listed_edges_give(spark, shared_names, monkeypatch, small):
+    monkeypatch.setattr(graph, "MOST_NAMES", small)
+    tables, same = shared_names
+    found, bag = graph.Relations(tables, same), graph.edges_of(tables, same)
+    both = graph.undirected(bag)
+    assert rows_of(found.report()) == rows_of(graph.edge_report(bag))
+    assert rows_of(found.vertices()) == rows_of(graph.vertices(bag))
+    known = spark.createDataFrame([("r:1",), ("r:500",)], "vertex string")
+    assert rows_of(found.vertices(known)) == rows_of(graph.vertices(bag, known))
+    assert rows_of(found.degrees()) == rows_of(graph.degrees(both))
+    assert rows_of(found.transitions()) == rows_of(graph.transitions(both))
+    pairs = rows_of(graph.credited_artists(tables["credited_on"].where("release_id IS NOT NULL"), same))
+    wanted = {(r, a) for n, r, k in tables["credited_on"].collect() if k != "design" and r for m, a in same.collect() if m == n}
+    assert pairs == sorted(wanted)
+    assert found.credited["credited_on"].count() < len(pairs)
+
+
+def test_listed_edges_are_not_shuffled(spark, capsys):
+    registry.credited_artist_edges(spark, SF).explain()
+    plan = capsys.readouterr().out
+    assert "Exchange hashpartitioning(release_id" in plan and not any("Exchange" in line and "release_id" in line and "artist_id" in line for line in plan.splitlines())
