@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,10 +98,15 @@ def catalogue_edges(cat) -> DataFrame:
     return edges_of({name: getattr(cat, name) for name, *_ in RELATIONS}, cat.same_as)
 
 
+def named_releases(cat) -> DataFrame:
+    """(key): releases that a credit or a track names, even if none of its names is an artist's; repeated."""
+    credits = [c.where(F.col("role_category").isin(*ROLES_KEPT)) for c in (cat.credited_on, cat.track_credited_on)]
+    return reduce(DataFrame.union, [rows.select(F.col("release_id").alias("key")) for rows in (*credits, cat.track_by_artist)])
+
+
 def catalogue_releases(cat) -> DataFrame:
-    """(vertex): releases that a credit or a track names, even if none of its names is an artist's."""
-    found = discovered_releases(cat.credited_on).union(discovered_releases(cat.track_credited_on)).union(cat.track_by_artist.select("release_id"))
-    return found.distinct().select(F.concat(F.lit(KINDS["release"] + ":"), F.col("release_id").cast("string")).alias("vertex"))
+    """(vertex): named_releases, once each."""
+    return named_releases(cat).distinct().select(_vertex(KINDS["release"], "key").alias("vertex"))
 
 
 class Relations:
@@ -146,11 +153,14 @@ class Relations:
             rows = self.rows[name]
             out.setdefault(KINDS["release"], []).append(rows.select(F.col("src").alias("key")))
             out.setdefault(KINDS["artist"], []).append(rows.select("group").distinct().join(self.members, "group").select(F.col("artist_id").alias("key")))
-        return {kind: reduce(DataFrame.union, [r.distinct() for r in rows]) for kind, rows in out.items()}
-
-    def vertices(self, known: DataFrame | None = None) -> DataFrame:
-        """See vertices()."""
-        all_ = [rows.distinct().select(_vertex(kind, "key").alias("vertex"), F.lit(kind).alias("kind")) for kind, rows in self.ends().items()]
+        return {kind: reduce(DataFrame.union, rows) for kind, rows in out.items()}
+
+    def vertices(self, known: DataFrame | None = None, keys: dict[str, DataFrame] | None = None) -> DataFrame:
+        """See vertices(); keys are known ones too, as (key) by kind."""
+        ends = self.ends()
+        for kind, rows in (keys or {}).items():
+            ends[kind] = ends[kind].union(rows) if kind in ends else rows
+        all_ = [rows.distinct().select(_vertex(kind, "key").alias("vertex"), F.lit(kind).alias("kind")) for kind, rows in ends.items()]
         if known is not None:
             all_.append(known.select("vertex", F.substring_index("vertex", ":", 1).alias("kind")))
         found = reduce(DataFrame.union, all_)
@@ -218,9 +228,14 @@ def _both_ways(rows: DataFrame, src_kind: str, dst_kind: str) -> DataFrame:
     return rows.select(F.inline(F.array(way("src", "dst"), way("dst", "src"))))
 
 
-def relations_of(cat) -> Relations:
-    """Lines are joined with their parts once, not for each relation of tags or credits."""
-    cat = cat.with_lines_stored(lambda df: kept(df, "lines"))
+def lines_stored(cat):
+    """The catalogue with lines joined with their parts once, not for each relation of tags or credits."""
+    return cat.with_lines_stored(lambda df: kept(df, "lines"))
+
+
+def relations_of(cat, stored: bool = False) -> Relations:
+    """The relations of a catalogue; stored tells that it comes from lines_stored."""
+    cat = cat if stored else lines_stored(cat)
     return Relations({name: getattr(cat, name) for name, *_ in RELATIONS}, cat.same_as)
 
 
@@ -274,13 +289,14 @@ class FastRP:
         return f"fastrp-v2:dim={self.dim}:weights={weights}:beta={self.beta:g}:self={self.self_weight:g}:proj=achlioptas-s3:rows=splitmix64(blake2b64(kind,key)):seed={self.seed}"
 
 
-def projection(keys: np.ndarray, dim: int, seed: int) -> np.ndarray:
-    """Rows of the sparse random matrix for node keys: minus or plus the root of 3 in a sixth of the places each, else 0."""
-    out = np.zeros((len(keys), dim), np.float32)
+def projection(keys: np.ndarray, dim: int, seed: int, first: int = 0) -> np.ndarray:
+    """Rows of the sparse random matrix for node keys: minus or plus the root of 3 in a sixth of the places each, else 0; of columns
+    from first up to dim."""
+    out = np.zeros((len(keys), dim - first), np.float32)
     low, high = np.uint64((1 << 64) // 6), np.uint64((1 << 64) - (1 << 64) // 6)
-    for j in range(dim):
+    for j in range(first, dim):
         u = splitmix(keys ^ np.uint64(splitmix_of((seed + (j + 1) * GAMMA) & MASK)))
-        out[u < low, j], out[u >= high, j] = -np.sqrt(3), np.sqrt(3)
+        out[u < low, j - first], out[u >= high, j - first] = -np.sqrt(3), np.sqrt(3)
     return out
 
 
@@ -303,9 +319,14 @@ def with_distinct_keys(points: DataFrame) -> DataFrame:
 
 def kept(df: DataFrame, name: str = "graph") -> DataFrame:
     """Written to the shared folder and read back: computed once, however often it is used, and a lost executor costs a step."""
+    return df.sparkSession.read.parquet(_written(df, name))
+
+
+def _written(df: DataFrame, name: str) -> str:
+    """The URI of the folder that a table was written to."""
     path = f"{shared_dir(df.sparkSession)}/{name}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return path
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -469,6 +490,231 @@ def fastrp(edges: DataFrame, config: FastRP = FastRP(), kinds: tuple[str, ...] |
     return total.join(mine, "node_key").select("vertex", "embedding")
 
 
+#: Edges of a packed part of the graph, about, and of the runs in which sums are added up, at most.
+PART_EDGES, RUN = 2_000_000, 64
+#: Bytes of a task's two slices of columns over all vertices, about, the columns of a slice and the bytes of the graph that a task holds, at most.
+SLICE_BYTES, SLICE, HELD_BYTES = 384 << 20, 32, 192 << 20
+#: Rows that are put together at a time.
+ROWS = 4096
+
+
+def _batches(uri: str, columns: list[str], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of a written table in the order in which they were written, read on an executor, one file after the other."""
+    files, base = fs.FileSystem.from_uri(uri)
+    for path in sorted(f.path for f in files.get_file_info(fs.FileSelector(base)) if f.is_file and f.base_name.startswith("part-")):
+        with files.open_input_file(path) as stream:
+            yield from pq.ParquetFile(stream).iter_batches(size, columns=columns)
+
+
+def _column(uri: str, name: str, kind) -> np.ndarray:
+    """A whole column of a written table; nulls are 0."""
+    return np.concatenate([np.zeros(0, kind), *(b.column(0).fill_null(0 if kind != bool else False).to_numpy(zero_copy_only=False) for b in _batches(uri, [name]))])
+
+
+def _laid(src: np.ndarray, dst: np.ndarray) -> dict[str, bytes]:
+    """Edges in an order in which sums by source are sums of whole arrays: the edges of each source are runs of RUN at most, longest
+    first, and at holds the first target of all runs, then the second of those that have two, and so on. wide tells how many runs
+    those are, src their sources; the runs of sources that have several follow each other in twice."""
+    order = np.lexsort((dst, src))
+    src, dst = src[order], dst[order]
+    start = _runs(src)
+    n = np.diff(np.r_[start, len(src)])
+    pieces = -(-n // RUN)
+    of = np.repeat(np.arange(len(n)), pieces)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin, size = start[of] + nth * RUN, np.minimum(n[of] - nth * RUN, RUN)
+    by = np.argsort(-size, kind="stable")
+    begin, size, of = begin[by], size[by], of[by]
+    wide = [int(np.searchsorted(-size, -k)) for k in range(size[0])]
+    at = np.concatenate([dst[begin[:m] + k] for k, m in enumerate(wide)])
+    several = np.flatnonzero(pieces[of] > 1)
+    several = several[np.argsort(of[several], kind="stable")]
+    return {"src": src[start][of].astype(np.int32).tobytes(), "wide": np.array(wide, np.int32).tobytes(), "at": at.astype(np.int32).tobytes(), "twice": several.astype(np.int32).tobytes()}
+
+
+_LAID = ("src", "wide", "at", "twice")
+
+
+def _add(out: np.ndarray, x: np.ndarray, src: np.ndarray, wide: np.ndarray, at: np.ndarray, twice: np.ndarray) -> None:
+    """Adds to the rows of out that are sources the sums of the rows of x that are their targets; see _laid."""
+    found, a = x.take(at[: wide[0]], 0), wide[0]
+    for m in wide[1:]:
+        found[:m] += x.take(at[a : a + m], 0)
+        a += m
+    if len(twice):
+        start = _runs(src[twice])
+        out[src[twice][start]] += np.add.reduceat(found[twice], start, 0, np.float64).astype(out.dtype)
+        once = np.ones(len(src), bool)
+        once[twice] = False
+        src, found = src[once], found[once]
+    found += out.take(src, 0)
+    row = f"V{out.shape[1] * out.itemsize}"  # rows are copied whole, not element by element
+    out.view(row)[src, 0] = found.view(row)[:, 0]
+
+
+def fastrp_of(found: Relations, listed: Callable[[], DataFrame], config: FastRP = FastRP(), kinds: tuple[str, ...] | None = None, known: dict[str, DataFrame] | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """fastrp() of listed(), the edges that found stands for, without listing them: a group's artists are added up once for all
+    releases that name it, and its releases once for all its artists, so the work grows with distinct edges to groups. known
+    has (key) of vertices by kind.
+
+    The columns of the projection move through the graph apart from each other. So a task takes all hops of a slice of columns, over
+    all vertices, and reads the packed graph once a hop; vectors are shipped only at the end, those that are asked for. Graphs of
+    so many vertices that one column of them is more than slice_bytes go through fastrp()."""
+    spark, dim = found.members.sparkSession, config.dim
+    points = with_distinct_keys(kept(keyed(found.vertices(keys=known))))
+    asked = F.lit(True) if kinds is None else F.substring_index("vertex", ":", 1).isin(*kinds)
+    place = lambda vertex: F.xxhash64(vertex)
+    group = place(F.concat(F.lit("=:"), F.col("group").cast("string")))
+    rows = points.select(place(F.col("vertex")).alias("id"), "node_key", asked.alias("asked"))
+    placed = _written(rows.union(found.members.select(group, F.lit(None).cast("long"), F.lit(False)).distinct()).orderBy("id"), "places")
+    count = spark.read.parquet(placed).count()
+    if count * 8 > slice_bytes:
+        return fastrp(listed(), config, kinds, points.select("vertex"))
+
+    edges = []
+    for name, src, src_kind, dst, dst_kind in RELATIONS:
+        if name in found.rows:
+            end = group if name in found.credited else place(_vertex(KINDS[dst_kind], "dst"))
+            edges.append(found.rows[name].select(place(_vertex(KINDS[src_kind], "src")).alias("a"), end.alias("b")))
+    members = found.members.select(place(_vertex(KINDS["artist"], "artist_id")).alias("a"), group.alias("b"))
+    listing = _written(members, "members")
+
+    def pack(whole: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Edges in order of a as parts, one a row, both ways, by the places of their ends: distinct ones, without those from a release
+            to an artist of a group that it names. Of members, those that are no vertices are left out; edges have none of these."""
+            ids = _column(placed, "id", np.int64)
+            if (ids[1:] <= ids[:-1]).any():
+                raise ValueError("two vertices have one place")
+
+            def places(x: np.ndarray) -> np.ndarray:
+                at = np.searchsorted(ids, x)
+                at[ids.take(at, mode="clip") != x] = -1
+                return at
+
+            of = np.full(len(ids), -1)  # the group of each artist
+            artist, named = (places(_column(listing, c, np.int64)) for c in ("a", "b"))
+            of[artist[artist >= 0]] = named[artist >= 0]
+
+            def part(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+                x, y = places(a), places(b)
+                if whole and ((x < 0) | (y < 0)).any():
+                    raise ValueError("an end of an edge is no vertex")
+                both = np.unique((x << 32 | y)[(x >= 0) & (y >= 0)])
+                if whole:
+                    through = np.where(of[both & 0xFFFFFFFF] >= 0, both >> 32 << 32 | of[both & 0xFFFFFFFF], -1)
+                    both = both[both.take(np.searchsorted(both, through), mode="clip") != through]
+                x, y = both >> 32, both & 0xFFFFFFFF
+                ways = (_laid(x, y), _laid(y, x)) if len(x) else ()
+                cells = {f"{c}{i}": [way[c]] for i, way in enumerate(ways) for c in _LAID}
+                return pa.RecordBatch.from_pydict(cells or {f.name: [] for f in target}, target)
+
+            held, n = [], 0
+            for batch in batches:
+                held.append([c.to_numpy() for c in batch.columns])
+                n += batch.num_rows
+                if n >= PART_EDGES:
+                    a, b = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+                    cut = _runs(a)[-1]  # the edges of the last a may go on
+                    if cut:
+                        yield part(a[:cut], b[:cut])
+                    held, n = [[a[cut:], b[cut:]]], len(a) - cut
+            if n:
+                yield part(*(np.concatenate([x[i] for x in held]) for i in (0, 1)))
+
+        target = pa.schema([(f"{c}{i}", pa.binary()) for i in (0, 1) for c in _LAID])
+        return run
+
+    schema = ", ".join(f"{c}{i} binary" for i in (0, 1) for c in _LAID)
+    dealt = reduce(DataFrame.union, edges).repartition("a").sortWithinPartitions("a")
+    parts = _written(dealt.mapInArrow(pack(True), schema), "parts")
+    belongs = _written(spark.read.parquet(listing).mapInArrow(pack(False), schema), "parts")
+
+    cores = spark.sparkContext.defaultParallelism
+    tasks = -(-dim // min(SLICE, slice_bytes // (8 * count)))
+    width = -(-dim // min(dim, -(-tasks // cores) * cores))
+    last = max(k for k, w in enumerate(config.weights) if w)
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nth in batch.column(0).to_pylist():
+                yield from moved(nth * width, min(dim, (nth + 1) * width))
+
+    def moved(lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        """Columns lo to hi of the asked rows' powers: (chunk, lo, keys, v), v by power, row and column."""
+
+        stock: dict[str, list[list[np.ndarray]]] = {}
+
+        def laid(uri: str) -> Iterator[list[np.ndarray]]:
+            """Each part of a packed table, one way after the other; a table of HELD_BYTES at most is read once."""
+            if uri in stock:
+                yield from stock[uri]
+                return
+            keep, size = [], 0
+            for row in _batches(uri, [f"{c}{i}" for i in (0, 1) for c in _LAID], 1):
+                for i in (0, 1):
+                    way = [np.frombuffer(row.column(f"{c}{i}")[0].as_py(), np.int32) for c in _LAID]
+                    size += sum(x.nbytes for x in way)
+                    keep = [*keep, way] if size <= HELD_BYTES else []
+                    yield way
+            if size <= HELD_BYTES:
+                stock[uri] = keep
+
+        def spread(x: np.ndarray) -> np.ndarray:
+            """The sums of each vertex's neighbours; x is 0 at groups, and so is the result."""
+            for nth, way in enumerate(laid(belongs)):
+                if nth % 2:
+                    _add(x, x, *way)
+            out = np.zeros_like(x)
+            for way in laid(parts):
+                _add(out, x, *way)
+            for nth, way in enumerate(laid(belongs)):
+                if not nth % 2:
+                    _add(out, out, *way)
+            out[groups] = 0
+            return out
+
+        keys = _column(placed, "node_key", np.int64).view(np.uint64)
+        groups = np.concatenate([np.zeros(0, bool), *(b.column(0).is_null().to_numpy(zero_copy_only=False) for b in _batches(placed, ["node_key"]))])
+        rows = np.flatnonzero(_column(placed, "asked", bool))
+        degree = np.ones((len(keys), 1))
+        degree[groups] = 0
+        degree = np.maximum(spread(degree), 1)
+        now = np.empty((len(keys), hi - lo), np.float32)
+        for a in range(0, len(keys), GATHERED):
+            now[a : a + GATHERED] = projection(keys[a : a + GATHERED], hi, config.seed, lo)
+            if config.beta:
+                now[a : a + GATHERED] *= degree[a : a + GATHERED] ** config.beta
+        now[groups] = 0
+        keys, degree = keys[rows], degree.astype(np.float32)
+        terms = []
+        for k in range(last + 1):
+            now = spread(now)
+            now /= degree
+            if config.weights[k]:
+                terms.append(now[rows])
+        for a in range(0, len(rows), ROWS):
+            v = np.stack([t[a : a + ROWS] for t in terms])
+            yield pa.RecordBatch.from_pydict({"chunk": [a // ROWS], "lo": [lo], "keys": [keys[a : a + ROWS].tobytes()], "v": [v.tobytes()]}, slices)
+
+    slices = pa.schema([("chunk", pa.int32()), ("lo", pa.int32()), ("keys", pa.binary()), ("v", pa.binary())])
+    weights = [w for w in config.weights if w]
+
+    def whole(chunk: pa.Table) -> pa.Table:
+        """The slices of some rows put together, normalised and added up at their weights."""
+        chunk = chunk.sort_by("lo")
+        keys = np.frombuffer(chunk.column("keys")[0].as_py(), np.uint64)
+        v = np.concatenate([np.frombuffer(x.as_py(), np.float32).reshape(len(weights), len(keys), -1) for x in chunk.column("v")], 2)
+        out = sum((_unit(t, w) for t, w in zip(v, weights, strict=True)), _unit(projection(keys, dim, config.seed), config.self_weight))
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * dim, pa.int32()), pa.array(out.ravel().astype(np.float32)))
+        return pa.table({"node_key": pa.array(keys.view(np.int64)), "embedding": flat})
+
+    tasks = -(-dim // width)
+    columns = kept(spark.range(0, tasks, 1, tasks).mapInArrow(move, "chunk int, lo int, keys binary, v binary"), "columns")
+    total = columns.groupBy("chunk").applyInArrow(whole, "node_key long, embedding array<float>")
+    return total.join(points.where(asked), "node_key").select("vertex", "embedding")
+
+
 def vertex_sample(points: DataFrame, n: int, seed: int) -> DataFrame:
     """The n vertices of keyed(vertex, node_key) whose keys mixed with a seed are least, unsigned: the same for any order of rows."""
 

@@ -235,8 +235,9 @@ def node_keys(spark, sf):
 
 
 def fastrp_embeddings(spark, sf):
-    c = Catalogue(spark, sf)
-    return neighbours.half_precision(graph.fastrp(graph.catalogue_edges(c), kinds=("a",), known=graph.catalogue_releases(c)).withColumnRenamed("vertex", "id"))
+    c = graph.lines_stored(Catalogue(spark, sf))
+    vectors = graph.fastrp_of(graph.relations_of(c, stored=True), lambda: graph.catalogue_edges(c), kinds=("a",), known={"r": graph.named_releases(c)})
+    return neighbours.half_precision(vectors.withColumnRenamed("vertex", "id"))
 
 
 def exact_top_k(spark, sf):

@@ -145,3 +145,42 @@ def test_listed_edges_are_not_shuffled(spark, capsys):
     registry.credited_artist_edges(spark, SF).explain()
     plan = capsys.readouterr().out
     assert "Exchange hashpartitioning(release_id" in plan and not any("Exchange" in line and "release_id" in line and "artist_id" in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize(("config", "sizes"), [(FastRP(dim=16), {}), (FastRP(dim=40), {"PART_EDGES": 7, "RUN": 2, "SLICE": 3, "HELD_BYTES": 0, "ROWS": 4}), (FastRP(dim=8, self_weight=0, beta=-0.5, weights=(1, 0, 0.5)), {"SLICE": 1})])
+def test_fastrp_by_columns_gives_what_listed_edges_give(spark, shared_names, monkeypatch, config, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(graph, name, value)
+    tables, same = shared_names
+    known = spark.createDataFrame([(1,), (500,)], "key long")
+    pairs = [(r["src"], r["dst"]) for r in graph.edges_of(tables, same).collect()]
+    names, want = dense(pairs, config)
+
+    def embed(kinds=None, **more):
+        return {r["vertex"]: np.array(r["embedding"]) for r in graph.fastrp_of(graph.Relations(tables, same), lambda: graph.edges_of(tables, same), config, kinds, {"r": known}, **more).collect()}
+
+    got = embed()
+    assert set(got) == {*names, "r:500"}
+    for n, w in zip(names, want, strict=True):
+        assert np.abs(got[n] - w).max() < 1e-5, n
+    if not sizes:
+        assert {v[0] for v in embed(("a",))} == {"a"}
+        rest = embed(slice_bytes=1)  # too many vertices for a slice
+        assert rest.keys() == got.keys() and max(np.abs(got[v] - rest[v]).max() for v in got) < 1e-5
+
+
+def test_sums_of_packed_edges_are_those_of_listed_ones():
+    rng = np.random.default_rng(5)
+    src, dst = np.unique(np.minimum(rng.zipf(1.3, (4000, 2)), 300) - 1, axis=0).T
+    x = rng.standard_normal((300, 5)).astype(np.float32)
+    want, out = np.zeros((300, 5)), np.zeros((300, 5), np.float32)
+    np.add.at(want, src, x[dst].astype(np.float64))
+    way = graph._laid(src, dst)
+    assert len(way["twice"])
+    graph._add(out, x, *(np.frombuffer(way[c], np.int32) for c in graph._LAID))
+    assert np.abs(out - want).max() < 1e-4
+
+
+def test_embeddings_list_no_edges_to_credited_artists(spark, monkeypatch):
+    monkeypatch.setattr(graph, "credited_artists", None)
+    assert registry.fastrp_embeddings(spark, SF).count() == 10
