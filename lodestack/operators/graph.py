@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestack.functions.hashing import GAMMA, MASK, node_key, splitmix, splitmix_of
@@ -44,21 +44,53 @@ def members_of(groups: DataFrame) -> DataFrame:
     return groups.select("group", "artist_id").distinct()
 
 
-def credited_groups(credits: DataFrame, groups: DataFrame) -> DataFrame:
-    """(release_id, group), distinct: groups of artist_groups that a credit in a kept category names."""
-    return _named_groups(credits, groups).distinct()
-
-
 def _named_groups(credits: DataFrame, groups: DataFrame) -> DataFrame:
+    """(release_id, group), repeated: groups of artist_groups that a credit in a kept category names."""
     kept_ = credits.where(F.col("role_category").isin(*ROLES_KEPT)).select("person_name", "release_id")
     return kept_.join(_small(groups.select("person_name", "group").distinct()), "person_name").select("release_id", "group")
 
 
+#: Artists of a list: what one run of Parquet's bit-packed values holds, so that a list that is repeated gives equal bytes.
+LIST = 504
+#: Pairs of a release and a group of a task that lists edges, and edges that it lists, at least and at most.
+TASK_PAIRS, TASK_EDGES, MOST_TASK_EDGES = 1 << 15, 1 << 19, 1 << 25
+#: Pairs that stand for fewer edges each than this are left as they lie.
+LEAST_FAN_OUT = 4
+
+
+def lists_of(members: DataFrame) -> DataFrame:
+    """(group, list, artist_id): groups cut into lists of LIST artists, the rest into a multiple of 8 and fewer than 8; lists are named
+    by their least artist."""
+    group = Window.partitionBy("group")
+    at, n = F.row_number().over(group.orderBy("artist_id")) - 1, F.count("*").over(group)
+    piece = F.when(F.col("_at") < F.col("_n") - F.col("_n") % 8, F.floor(F.col("_at") / LIST)).otherwise(-1)
+    cut = members.select("group", "artist_id", at.alias("_at"), n.alias("_n")).withColumn("_piece", piece)
+    return cut.select("group", F.min("artist_id").over(Window.partitionBy("group", "_piece")).alias("list"), "artist_id")
+
+
+def listed_together(pairs: DataFrame, listed: DataFrame, lists: DataFrame, key: str) -> DataFrame:
+    """pairs(key, group, ...) with list for group, a row for each list of the group. Those of a list lie side by side, so the edges that
+    they fan out to repeat the list, which Parquet stores in a tenth of the room, as long as a file's keys fit its dictionary of 1 MB:
+    hence TASK_PAIRS. listed(group) tells how many pairs there are at most; a stored table."""
+    heads = _small(lists.select("group", "list").distinct())
+    sizes = _small(lists.groupBy("group").agg(F.count("*").alias("n")))
+    rows, edges = listed.join(sizes, "group").agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if edges < LEAST_FAN_OUT * max(rows, 1):
+        return pairs.join(heads, "group").drop("group")
+    tasks = max(1, min(-(-rows // TASK_PAIRS), -(-edges // TASK_EDGES)), edges // MOST_TASK_EDGES)
+    laid = pairs.repartitionByRange(tasks, "group", key).join(heads, "group").drop("group").sortWithinPartitions("list", key)
+    # A sort below a join is dropped as useless, unless something between them is not deterministic.
+    return laid.withColumn("list", F.when(F.monotonically_increasing_id() >= 0, F.col("list")))
+
+
 def credited_artists(credits: DataFrame, same_as: DataFrame) -> DataFrame:
     """(release_id, artist_id), distinct, of credits in a kept category: a name that stands for several artists gives an edge to each,
     one that stands for none gives none. Edges fan out last, from distinct edges to groups, so they are never shuffled."""
     groups = artist_groups(same_as)
-    return credited_groups(credits, groups).join(_small(members_of(groups)), "group").select("release_id", "artist_id")
+    lists = kept(lists_of(members_of(groups)), "lists")
+    named = kept(_named_groups(credits, groups), "named")
+    pairs = listed_together(named.distinct(), named, lists, "release_id")
+    return pairs.join(_small(lists.select("list", "artist_id")), "list").select("release_id", "artist_id")
 
 
 def discovered_releases(credits: DataFrame) -> DataFrame:

@@ -147,6 +147,29 @@ def test_listed_edges_are_not_shuffled(spark, capsys):
     assert "Exchange hashpartitioning(release_id" in plan and not any("Exchange" in line and "release_id" in line and "artist_id" in line for line in plan.splitlines())
 
 
+@pytest.fixture
+def crowded_names(spark):
+    """Credits of 3,000 releases, and 64 names with 200 artists each."""
+    credits = spark.range(12_000).selectExpr("concat('n', pmod(xxhash64(id), 64)) AS person_name", "id % 3000 AS release_id", "'session' AS role_category")
+    return credits, spark.range(12_800).selectExpr("concat('n', id % 64) AS person_name", "id AS artist_id")
+
+
+def bytes_of(path):
+    return sum(p.stat().st_size for p in path.glob("*.parquet"))
+
+
+@pytest.mark.parametrize("most", [1 << 15, 700])
+def test_listed_edges_lie_by_group_and_take_little_room(spark, crowded_names, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(graph, "TASK_PAIRS", most)
+    credits, same = crowded_names
+    edges = graph.credited_artists(credits, same)
+    edges.write.parquet(str(tmp_path / "edges"))
+    found = spark.read.parquet(str(tmp_path / "edges"))
+    wanted = credits.join(same, "person_name").select("release_id", "artist_id").distinct()
+    assert found.count() == wanted.count() > 1_000_000 and found.exceptAll(wanted).count() == 0
+    assert bytes_of(tmp_path / "edges") < 0.4 * found.count()
+
+
 @pytest.mark.parametrize(("config", "sizes"), [(FastRP(dim=16), {}), (FastRP(dim=40), {"PART_EDGES": 7, "RUN": 2, "SLICE": 3, "HELD_BYTES": 0, "ROWS": 4}), (FastRP(dim=8, self_weight=0, beta=-0.5, weights=(1, 0, 0.5)), {"SLICE": 1})])
 def test_fastrp_by_columns_gives_what_listed_edges_give(spark, shared_names, monkeypatch, config, sizes):
     for name, value in sizes.items():
