@@ -170,6 +170,16 @@ def test_listed_edges_lie_by_group_and_take_little_room(spark, crowded_names, tm
     assert bytes_of(tmp_path / "edges") < 0.4 * found.count()
 
 
+def test_transitions_of_listed_edges_take_little_room(spark, crowded_names, tmp_path):
+    credits, same = crowded_names
+    graph.Relations({"credited_on": credits}, same).transitions().write.parquet(str(tmp_path / "weights"))
+    found = spark.read.parquet(str(tmp_path / "weights"))
+    both = graph.undirected(graph.edges_of({"credited_on": credits}, same))
+    wanted = graph.transitions(both)
+    assert found.count() == wanted.count() > 2_000_000 and found.exceptAll(wanted).count() == 0
+    assert bytes_of(tmp_path / "weights") < 0.6 * found.count()
+
+
 @pytest.mark.parametrize(("config", "sizes"), [(FastRP(dim=16), {}), (FastRP(dim=40), {"PART_EDGES": 7, "RUN": 2, "SLICE": 3, "HELD_BYTES": 0, "ROWS": 4}), (FastRP(dim=8, self_weight=0, beta=-0.5, weights=(1, 0, 0.5)), {"SLICE": 1})])
 def test_fastrp_by_columns_gives_what_listed_edges_give(spark, shared_names, monkeypatch, config, sizes):
     for name, value in sizes.items():
